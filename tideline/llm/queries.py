@@ -46,6 +46,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_
 """
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_io import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
