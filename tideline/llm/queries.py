@@ -46,6 +46,43 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("key")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS (
+  SELECT doc_id, source, len(regexp_extract_all(t, '[^ 	-]+')) AS size, md5(t) AS tie,
+         -ln((cast(('0x' || md5('0:' || doc_id)[:13]) AS bigint) + 0.5::double) / 4503599627370496.0::double)
+         / CASE WHEN length(t) > 0 THEN 1.0::double - 0.9::double * length(regexp_replace(t, '[A-Za-z \x{80}-\x{10FFFF}]+', '', 'g')) / length(t) ELSE 1.0 END AS key
+  FROM d),
+s AS (
+  SELECT source, sum(size)::bigint AS source_size,
+         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::int]::double AS weight
+  FROM f GROUP BY source),
+c AS (
+  SELECT *, 2.0::double * source_size AS cap, 2.0::double * source_size / weight AS ratio FROM s),
+l AS (
+  SELECT *, (1.5::double * sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM c WINDOW w AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio) * weight), cap) AS target FROM l),
+e AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN round(target)::bigint // source_size ELSE 0 END AS epochs FROM a),
+p AS (
+  SELECT f.*, e.source_size, target, epochs, round(target)::bigint - epochs * e.source_size AS rest,
+         sum(size) OVER (PARTITION BY f.source ORDER BY key, doc_id, tie ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM f JOIN e ON f.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size::bigint AS size, source_size, target,
+       (epochs * size + greatest(0, least(size, rest - before)))::bigint AS taken
+FROM p
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_io import token_files
 
@@ -57,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
