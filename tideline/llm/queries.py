@@ -128,6 +128,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
