@@ -219,7 +219,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     key = F.col(key_col) if key_col else F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.length(text_col).cast("long").alias("c"), key.cast("long").alias("key"))
-    local = written(rows.mapInArrow(_combine(chunk_bytes), _LOCAL), "exact-local")
+    local = written(rows.mapInArrow(_combine(chunk_bytes), _LOCAL), "exact-local", "zstd")
     contents = local.where(F.col("content").isNotNull()).select("gid", "digest", "content", "best_chars", "best_id", "best_uid", "n_rows")
     verdict = contents.repartition("digest").mapInArrow(_resolve(memory_bytes), _VERDICT)
     return local.select("uid", "gid", "key", "doc_id", "text_sha256").join(verdict, "gid").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "key")
@@ -229,6 +229,6 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, with all their columns and no others."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = new_name(docs, "row_key")
-    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "exact-rows")
+    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "exact-rows", "zstd")
     groups = exact_groups(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, chunk_bytes=chunk_bytes, memory_bytes=memory_bytes)
     return numbered.join(groups.where("kept").select(F.col("key").alias(key)), key, "left_semi").select(*columns)

@@ -106,7 +106,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     """
     columns = docs.columns
     key = new_name(docs, "row_key")
-    numbered = written(docs.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias(key)), "mix-rows")
+    numbered = written(docs.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias(key)), "mix-rows", "zstd")
     taken = mix(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, **options).where("taken > 0")
     # one row per copy: all words, or the first n
     copies = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")

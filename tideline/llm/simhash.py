@@ -98,7 +98,7 @@ class GrayIndex:
         #: agreed bits that are not the parent's
         self.own = [m & ~self.masks[k + 1][np.arange(len(m)) // FAN] for k, m in enumerate(self.masks[:-1])] + [self.masks[-1]]
 
-    def links(self, most: int, chunk: int = 1 << 21) -> np.ndarray:
+    def links(self, most: int, chunk: int = 1 << 18) -> np.ndarray:
         """A label for each code: equal for codes of a bucket that are linked directly or by others."""
         n = len(self.codes)
         labels = np.arange(n)
@@ -111,11 +111,13 @@ class GrayIndex:
             level[large] += 1
         for start in np.unique(level[self.ends - np.arange(n) > 1]).tolist():
             queries = np.flatnonzero((level == start) & (self.ends - np.arange(n) > 1))
-            at = 0
-            step = max(256, chunk >> 7)
+            at, step = 0, 1 << 14
             while at < len(queries):
-                pairs = self._descend(queries[at : at + step], start, most, labels)
-                at += step
+                pairs = self._descend(queries[at : at + step], start, most, labels, chunk)
+                if pairs is None:  # too many ways down at once
+                    step = max(1, min(step, len(queries) - at) // 4)
+                    continue
+                at, step = at + step, min(2 * step, 1 << 14)
                 if len(pairs[0]):
                     labels = _join(labels, *pairs)
         return labels
@@ -129,7 +131,7 @@ class GrayIndex:
             out.append(np.where(low == high, low, -1))
         return out
 
-    def _descend(self, queries: np.ndarray, start: int, most: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _descend(self, queries: np.ndarray, start: int, most: int, labels: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray] | None:
         shift = 3 * start
         first, last = queries >> shift, (self.ends[queries] - 1) >> shift
         counts = last - first + 1
@@ -142,6 +144,8 @@ class GrayIndex:
             q, node, apart = q[keep], node[keep], apart[keep]
             if k == 0 or not len(q):
                 break
+            if len(q) > chunk and len(queries) > 1:
+                return None
             below = len(self.patterns[k - 1])
             q, apart = np.repeat(q, FAN), np.repeat(apart, FAN)
             node = (node[:, None] * FAN + np.arange(FAN)).ravel()
@@ -268,7 +272,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """One document of each group, with the columns of ``docs``: the smallest doc_id, of repeated ones one row."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = new_name(docs, "row_key")
-    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "near-rows")
+    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "near-rows", "zstd")
     groups = near_groups(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, **options)
     keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias(key))
     return numbered.join(keep.select(key), key, "left_semi").select(*columns)
