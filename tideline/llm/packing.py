@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizing import WordEncoder, encoder_of
+from .tokenizing import WordEncoder, encoder_of, small_batches
 
 
 def padding(length: int, window: int) -> int:
@@ -48,7 +48,7 @@ def best_cuts(positions: list[int], cost: list[float], window: int, per_window:
     f, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(positions[0], 0)])  # f(i) + c_i ascends from the left
     at = {positions[0]: 0}
-    powers = [1 << k for k in range(3, window.bit_length()) if 1 << k <= window]
+    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window][-6:]  # shorter ones are not worth a look
     if window not in powers:
         powers.append(window)
     get = at.get
@@ -175,7 +175,7 @@ def pack(
     sentence_cut: float = 6.0,
     any_cut: float = 24.0,
     per_window: float = 4.0,
-    grain: int = 32,
+    grain: int = 64,
     fill: int = 512,
     block: int = 1 << 19,
     id_col: str = "doc_id",
@@ -200,9 +200,9 @@ def pack(
                 for at in range(0, len(rows), 65536):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536], f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids, lengths = encoder.encode([t or "" for t in texts], end_id)
+        for batch in (b for large in batches for b in small_batches(large)):
+            keys = batch.column(0).to_pylist()
+            ids, lengths = encoder.encode(batch.column(1), end_id)
             at = 0
             for key, n in zip(keys, lengths.tolist(), strict=True):
                 packer.add(key, ids[at : at + n])

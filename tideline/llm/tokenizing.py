@@ -1,13 +1,15 @@
 """Encoding many texts with a ``tokenizers`` file, each distinct word once.
 
-The library splits a text into words by a pattern and merges within words only.  So the
-words can be found by the same pattern here, each distinct one encoded by the library,
-and the ids put together: the result is the library's own for the whole text.  Texts
-with characters whose classes could differ between versions of Unicode, or with the
-start of a special token, are encoded by the library as they are.
-
-The table of words stops growing at ``max_words``; what is new after that is forgotten
-with its batch.
+The library splits a text into words by a pattern and merges within words only, and no
+word reaches over the start of a space that follows another character.  So texts are cut
+at white space, in Arrow; the distinct pieces that are new are cut into words by the same
+pattern; new words are encoded by the library; and the ids are put together: the result is
+the library's own for the whole text.  Pieces with characters whose classes could differ
+between versions of Unicode, or with the start of a special token, are encoded by the
+library as they are; so are texts with two spaces in a row where spaces are kept.
+
+The tables stop growing at ``max_pieces`` and ``max_words``; what is new after that is
+forgotten with its batch.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ import gc
 import json
 import re
 from array import array
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
-from tokenizers import Tokenizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: letters, digits and white space below U+0180, whose classes all versions of Unicode share
 _L, _N, _W = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
-_UNSETTLED = re.compile("[^\x00-\u017f]|<\\|")
+_UNSETTLED = re.compile("[^\x01-\u017f]|<\\|")
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
-#: the word patterns of the two kinds of file (fixed values)
-_KEEPS_SPACE = re.compile(f"{_CONTRACTIONS} ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
-_DROPS_SPACE = re.compile(f"{_CONTRACTIONS}[{_L}]+|[{_N}]|[^{_W}{_L}{_N}]+")
+#: the word patterns of the two kinds of file (fixed values); pieces lie between zeros
+_KEEPS_SPACE = re.compile(f"\0|{_CONTRACTIONS} ?[{_L}]+| ?[{_N}]+| ?[^\0{_W}{_L}{_N}]+|[{_W}]+(?![^\0{_W}])|[{_W}]+")
+_DROPS_SPACE = re.compile(f"\0|{_CONTRACTIONS}[{_L}]+|[{_N}]|[^\0{_W}{_L}{_N}]+")
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -38,75 +44,166 @@ def encoder_of(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def small_batches(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose words fit in little memory at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+class Ragged:
+    """Rows of numbers one after the other."""
+
+    def __init__(self, kind: type):
+        self.kind = np.dtype(kind)
+        self.flat, self.edges = bytearray(), array("q", [0])
+
+    def __len__(self) -> int:
+        return len(self.edges) - 1
+
+    def append(self, flat: np.ndarray, lengths: np.ndarray) -> int:
+        """The number of the first row that is new."""
+        first, at = len(self), self.edges[-1]
+        self.flat += flat.astype(self.kind).tobytes()
+        self.edges.frombytes((at + np.cumsum(lengths, dtype=np.int64)).tobytes())
+        return first
+
+    def cut(self, rows: int) -> None:
+        del self.edges[rows + 1 :]
+        del self.flat[self.edges[-1] * self.kind.itemsize :]
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows ``index`` one after the other, and their lengths."""
+        flat, edges = np.frombuffer(self.flat, self.kind), np.frombuffer(self.edges, np.int64)
+        starts = edges[index]
+        n = edges[index + 1] - starts
+        last = np.cumsum(n)
+        return flat[np.repeat(starts - (last - n), n) + np.arange(int(last[-1]) if len(last) else 0)], n
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``counts`` values."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
 class WordEncoder:
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 300_000, max_words: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
+        #: the same model for what is a single word in normal form already
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
         with open(path) as f:
             spec = json.load(f)
         #: whether white space is dropped and never part of a token
         self.drops_space = spec["pre_tokenizer"]["type"] == "Sequence"
         self.pattern = _DROPS_SPACE if self.drops_space else _KEEPS_SPACE
-        self.max_words = max_words
-        self.words: dict[str, int] = {}
-        self.flat, self.ends = bytearray(), array("q")  # ids as 32-bit integers; each word's end, in ids
+        self.max_pieces, self.max_words = max_pieces, max_words
+        self.first: dict[str, int] = {}  # pieces at the start of a text
+        self.later: dict[str, int] = self.first if self.drops_space else {}  # pieces after a space
+        self.pieces = Ragged(np.int32)  # words of each piece
+        self.word: dict[str, int] = {"\0": 0}
+        self.ids = Ragged(np.uint32)  # ids of each word; the first is none
+        self.ids.append(np.zeros(0), np.zeros(1))
+        self.end: dict[int, int] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def _library(self, texts: list[str], words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        tokenizer = self.merger if words else self.tokenizer
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and each text's number of ids; ``end_id`` follows each text."""
+    def encode(self, texts: list[str] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and each text's number of ids; ``end_id`` follows each text.  Nulls are empty."""
         collecting = gc.isenabled()
-        gc.disable()  # there are no cycles here, but millions of strings to look through
+        gc.disable()  # there are no cycles here, but many strings to look through
         try:
-            return self._encode(texts, end_id)
+            return self._encode(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""), end_id)
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        findall, odd = self.pattern.findall, _UNSETTLED.search
-        words: list[str] = []
-        counts, whole = np.zeros(len(texts), np.int64), []
-        for k, t in enumerate(texts):
-            if odd(t) is not None:
-                whole.append(k)
-                continue
-            found = findall(t.lower() if self.drops_space else t)
-            words += found
-            counts[k] = len(found)
-        known, size = len(self.ends), len(self.flat)
-        new = list(set(words) - self.words.keys())
-        for k, ids in enumerate(self._library(new), known):
-            self.flat += ids
-            self.ends.append(len(self.flat) >> 2)
-            self.words[new[k - known]] = k
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        tails: list[np.ndarray] = []
-        if end_id is not None or whole:  # one more entry after each text: the end, or the whole text
-            at = np.insert(at, np.cumsum(counts), len(self.ends) + np.arange(len(texts)))
-            tails = [np.zeros(0, np.uint32)] * len(texts)
-            for k, ids in zip(whole, self._library([texts[k] for k in whole]), strict=True):
-                tails[k] = np.frombuffer(ids, np.uint32)
-            if end_id is not None:
-                end = np.array([end_id], np.uint32)
-                tails = [np.concatenate([x, end]) if len(x) else end for x in tails]
+    def _words(self, pieces: list[str], space: str, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The words of pieces, and their numbers."""
+        joined = f"\0{space}".join(pieces)
+        odd = {}
+        if not joined.isascii() and _UNSETTLED.search(joined.replace("\0", " ")) or "<|" in joined or joined.count("\0") >= len(pieces):
+            odd = {k: space + p for k, p in enumerate(pieces) if "\0" in p or _UNSETTLED.search(p)}
+            joined = f"\0{space}".join("" if k in odd else p for k, p in enumerate(pieces))
+        joined = f"{space}{joined}\0"
+        found = self.pattern.findall(joined.lower() if self.drops_space else joined)
+        index = np.fromiter(map(self.word.get, found, repeat(-1)), np.int32, len(found))
+        unknown = np.flatnonzero(index < 0)
+        if len(unknown):
+            new = list(dict.fromkeys(found[k] for k in unknown.tolist()))
+            first = self.ids.append(*self._library(new, words=True))
+            if keep:
+                self.word.update(zip(new, range(first, first + len(new)), strict=True))
+                index[unknown] = np.fromiter((self.word[found[k]] for k in unknown.tolist()), np.int32, len(unknown))
+            else:
+                own = dict(zip(new, range(first, first + len(new)), strict=True))
+                index[unknown] = np.fromiter((own[found[k]] for k in unknown.tolist()), np.int32, len(unknown))
+        ends = np.flatnonzero(index == 0)
+        counts = np.diff(ends, prepend=-1) - 1
+        index = np.delete(index, ends)
+        if odd:
+            at = np.array(list(odd))
+            own = self.ids.append(*self._library(list(odd.values()))) + np.arange(len(at))
+            # the odd pieces' places hold what an empty piece has: a space's word, or nothing
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            index = np.delete(index, np.concatenate([np.arange(edges[k], edges[k + 1]) for k in at.tolist()]))
+            counts[at] = 0
+            index = np.insert(index, np.cumsum(counts)[at], own)
+            counts[at] = 1
+        return index, counts
+
+    def _entries(self, pieces: pa.Array, space: str, table: dict[str, int], grow: bool, keep: bool) -> np.ndarray:
+        """The entry of each piece."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        entry = np.fromiter(map(table.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new = [distinct[k] for k in missing.tolist()]
+            first = self.pieces.append(*self._words(new, space, keep))
+            entry[missing] = np.arange(first, first + len(new))
+            if grow:
+                table.update(zip(new, range(first, first + len(new)), strict=True))
+        return entry[coded.indices.to_numpy()]
+
+    def _encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if end_id is not None and end_id not in self.end:
+            word = self.ids.append(np.array([end_id]), np.ones(1))
+            self.end[end_id] = self.pieces.append(np.array([word]), np.ones(1))
+        grow = len(self.pieces) < self.max_pieces
+        keep = len(self.word) < self.max_words
+        mark = len(self.pieces), len(self.ids)
+        whole = np.zeros(0, np.int64)
+        if self.drops_space:
+            lists = pc.ascii_split_whitespace(texts)
+        else:
+            double = pc.match_substring(texts, "  ")
+            whole = np.flatnonzero(double.to_numpy(zero_copy_only=False))
+            lists = pc.split_pattern(pc.if_else(double, "", texts) if len(whole) else texts, " ")
+        counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        pieces = lists.flatten()
+        at = self._entries(pieces, "" if self.drops_space else " ", self.later, grow, keep)
+        if not self.drops_space and len(texts):
+            heads = np.cumsum(counts) - counts
+            at[heads] = self._entries(pieces.take(pa.array(heads)), "", self.first, grow, keep)
+        if grow:
+            mark = len(self.pieces), len(self.ids)
+        elif keep:
+            mark = mark[0], len(self.ids)
+        if len(whole):  # their single piece is empty, and has no ids
+            word = self.ids.append(*self._library(texts.take(pa.array(whole)).to_pylist()))
+            first = self.pieces.append(word + np.arange(len(whole)), np.ones(len(whole)))
+            at[np.cumsum(counts)[whole] - 1] = first + np.arange(len(whole))
+        if end_id is not None:
+            at = np.insert(at, np.cumsum(counts), self.end[end_id])
             counts = counts + 1
-        ids, sums = self._gather(at, tails)
-        if known + len(new) > self.max_words:
-            for w in new:
-                del self.words[w]
-            del self.flat[size:], self.ends[known:]
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        total = np.concatenate([[0], np.cumsum(sums)])
-        return ids, total[edges[1:]] - total[edges[:-1]]
-
-    def _gather(self, index: np.ndarray, tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the entries ``index``; those past the table are ``tails``."""
-        flat, ends = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.int64)
-        if tails:
-            more = np.fromiter(map(len, tails), np.int64, len(tails))
-            flat, ends = np.concatenate([flat, *tails]), np.concatenate([ends, len(flat) + np.cumsum(more)])
-        starts = np.concatenate([[0], ends[:-1]])
-        n = (ends - starts)[index]
-        last = np.cumsum(n)
-        return flat[np.repeat(starts[index] - (last - n), n) + np.arange(int(last[-1]) if len(last) else 0)], n
+        words, n_words = self.pieces.take(at)
+        ids, n_ids = self.ids.take(words)
+        lengths = sums(sums(n_ids, n_words), counts)
+        self.pieces.cut(mark[0])
+        self.ids.cut(mark[1])
+        return ids, lengths
