@@ -33,6 +33,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op3_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chain_dedup import fuzzy_passages
+
+    return fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
