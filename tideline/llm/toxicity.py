@@ -42,8 +42,15 @@ GAPS = " .-_*~'"
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(k for k in LEET if not k.isdigit()))
-_CANDIDATE = re.compile(rf"[^\s]*(?:[^\W\d_][\d{_SIGNS}.\-*~_]+[^\W\d_]|(?<!\S)[\d@$!][^\W\d_]{{2}}|([^\W\d_])\1\1)[^\s]*")
+# each begins with the rarest character of its match, so that searching is quick
+_AMONG = re.compile(rf"[\d{_SIGNS}*~_](?<=[^\W\d_].)[\d{_SIGNS}*~_]*(?=[^\W\d_])")
+_BEFORE = re.compile(r"[\d@$!](?<![^\s].)(?=[^\W\d_]{2})")
+_REPEATED = re.compile(r"([a-z])\1\1")
+_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
+_ALONE = re.compile(rf"[ .\-_*~][\w{_SIGNS}][ .\-_*~][\w{_SIGNS}][ .\-_*~]")
 _SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}][ .\-_*~]{{1,2}}){{3,}}[\w{_SIGNS}](?![\w{_SIGNS}])")
+_DOTTED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}][.\-_*~]){{3,}}[\w{_SIGNS}](?![\w{_SIGNS}])")
+_SPACE = re.compile(r"\s")
 LONGEST = 64  # a longer run without white space is split for decoding
 
 
@@ -69,12 +76,23 @@ def _class(c: str) -> int:
 
 
 def count_4grams(texts: Iterable[str], counts: np.ndarray) -> None:
+    """Add the 4-grams of the texts, each set between spaces."""
+
+    def add(joined: str) -> None:
+        c = CLASSES[np.frombuffer(joined.encode("latin-1", "replace"), np.uint8)]
+        for at in range(0, len(c) - 3, 1 << 20):
+            part = c[at : at + (1 << 20) + 3]
+            np.add(counts, np.bincount(part[:-3] << 15 | part[1:-2] << 10 | part[2:-1] << 5 | part[3:], minlength=1 << 20), out=counts)
+
+    held, size = [], 0
     for t in texts:
-        c = CLASSES[np.frombuffer(f"  {t} ".encode("latin-1", "replace"), np.uint8)]
-        for at in range(0, len(c) - 3, 1 << 18):
-            part = c[at : at + (1 << 18) + 3]
-            code = part[:-3] << 15 | part[1:-2] << 10 | part[2:-1] << 5 | part[3:]
-            counts += np.bincount(code, minlength=1 << 20)
+        held.append(t)
+        size += len(t)
+        if size > 1 << 20:
+            add(f"   {'   '.join(held)}   ")
+            held, size = [], 0
+    if held:
+        add(f"   {'   '.join(held)}   ")
 
 
 def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -158,9 +176,21 @@ def restored(text: str, decoder: Decoder | None) -> list[str]:
     """Plain readings of what looks disguised in a text (lower case)."""
     if decoder is None:
         return []
-    found = {m.group() for m in _CANDIDATE.finditer(text)}
-    found |= {m.group() for m in _SPACED.finditer(text)}
-    return [decoder.decode(x) for x in sorted(found) if _CANDIDATE.search(x) or _SPACED.search(x)]
+    spots = [m.start() for m in _AMONG.finditer(text)]
+    spots += [m.start() for m in _BEFORE.finditer(text)]
+    if any(t in text for t in _TRIPLES):
+        spots += [m.start() for m in _REPEATED.finditer(text)]
+    found, end = set(), -1
+    for spot in sorted(spots):
+        if spot >= end:  # the run without white space around it
+            start = max(text.rfind(" ", 0, spot), text.rfind("\n", 0, spot), text.rfind("\t", 0, spot)) + 1
+            m = _SPACE.search(text, spot)
+            end = m.start() if m else len(text)
+            found.add(text[start:end])
+    if _ALONE.search(text):
+        found.update(m.group() for m in _SPACED.finditer(text))
+        found.update(m.group() for m in _DOTTED.finditer(text))
+    return [decoder.decode(x) for x in sorted(found)]
 
 
 def terms(text: str | None, decoder: Decoder | None) -> set[str]:
@@ -265,19 +295,26 @@ def learn(docs: DataFrame, labels: DataFrame, shared, *, max_labelled: int = 20_
     """A model from at most ``max_labelled`` labelled rows that are not held out."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    # at most max_labelled pairs of numbers are broadcast
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = written(rows, "labelled")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
+
+        def out() -> pa.RecordBatch:
+            names = [*counts[1], *(t for t in counts[0] if t not in counts[1])]
+            columns = [pa.array(names, pa.string()), *(pa.array([counts[k][t] for t in names], pa.int64()) for k in (1, 0))]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, ["term", "a", "b"])
+
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 counts[toxic > 0].update(terms(text.as_py(), shared.value))
-        # a term in a single row of one task may be in others' too, so that all go on
-        names = list(counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][t] for t in names], pa.int64()), pa.array([counts[0][t] for t in names], pa.int64())], ["term", "a", "b"])
-        names = [t for t in counts[0] if t not in counts[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array([counts[0][t] for t in names], pa.int64())], ["term", "a", "b"])
+                if len(counts[0]) + len(counts[1]) > 300_000:
+                    yield out()
+        yield out()
 
     sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("toxic") > 0).count().collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
@@ -293,9 +330,11 @@ def learn(docs: DataFrame, labels: DataFrame, shared, *, max_labelled: int = 20_
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms(x.as_py(), shared.value) for x in batch.column(0)]
-            held = [sorted(index[t] for t in names if t in index) for names in found]
-            marks = [signature(names).tolist() for names in found]
+            held, marks = [], []
+            for x in batch.column(0):
+                names = terms(x.as_py(), shared.value)
+                held.append(sorted(index[t] for t in names if t in index))
+                marks.append(signature(names).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64())), batch.column(1)], ["held", "marks", "toxic"])
 
     table = rows.select("text", "toxic").mapInArrow(hold, "held array<int>, marks array<bigint>, toxic int").toArrow()
