@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 import weakref
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR = "/tmp/checkpoints"
 _written: list[tuple[weakref.ref, str]] = []
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,19 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove written tables that nothing needs any more, and let Spark drop the shuffle files behind them."""
+    for df in tables:
+        if path := _paths.pop(id(df), None):
+            remove(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

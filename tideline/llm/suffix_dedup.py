@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 KMER = 32
 PIECE = 1 << 22  # windows of a document that are looked at together; bytes of a batch
@@ -406,11 +406,6 @@ def _remove(with_text: bool):
     return run
 
 
-def _tidy(spark) -> None:
-    """Let Spark drop the shuffle files of what is written and done."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, *, length: int = 200, hot_group: int = 100_000, hot_step: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes) if asked for.
 
@@ -423,19 +418,27 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, hot_group: int = 100_0
     rows = written(rows, "suffix-rows", "zstd")
     texts = rows.select("key", "text").where(F.length("text") >= length)
     listed = written(texts.mapInArrow(_list_runs(length), "hash long, key long, number int"), "suffix-runs")
+    # written, so that the join below deals both sides anew and Spark can split a hot hash
     twice = listed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > hot_group).alias("hot"))
+    twice = written(twice, "suffix-twice")
     wanted = listed.join(twice, "hash").groupBy("key").agg(F.collect_list(F.struct("number", "hot")).alias("runs"))
-    wanted = wanted.select("key", F.col("runs.number").alias("numbers"), F.col("runs.hot").alias("hot"))
+    wanted = written(wanted.select("key", F.col("runs.number").alias("numbers"), F.col("runs.hot").alias("hot")), "suffix-wanted")
+    drop_written(spark, listed, twice)
+    del listed, twice
     joined = texts.join(wanted.hint("shuffle_hash"), "key").select("key", "text", "numbers", "hot")
     spans = written(joined.mapInArrow(_list_spans(length, hot_step), "ref long, group long, nearest int, farthest int, span binary, several boolean, keys array<long>, anchors array<long>"), "suffix-spans", "zstd")
-    _tidy(spark)
+    del joined
+    drop_written(spark, wanted)
+    del wanted
     dealt = spans.select("ref", "group", "nearest", "farthest", "span", "several").repartition("group").sortWithinPartitions("group")
     found = dealt.mapInArrow(_find(length), "ref long, low int, high int")
     ranges = spans.select("ref", "keys", "anchors").join(found, "ref")
     ranges = ranges.select(F.explode(F.arrays_zip("keys", "anchors")).alias("at"), "low", "high")
     ranges = ranges.select(F.col("at.keys").alias("key"), F.struct((F.col("at.anchors") - F.col("high")).alias("a"), (F.col("at.anchors") - F.col("low") + length).alias("b")).alias("r"))
     by_doc = written(ranges.groupBy("key").agg(F.collect_list("r").alias("r")).select("key", F.col("r.a").alias("a"), F.col("r.b").alias("b")), "suffix-ranges")
-    _tidy(spark)
+    del dealt, found, ranges
+    drop_written(spark, spans)
+    del spans
     out = rows.join(by_doc.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "a", "b")
     out = out.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
