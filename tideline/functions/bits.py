@@ -18,6 +18,11 @@ def _one(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
+def _from(place: Column) -> Column:
+    """All places from this one on."""
+    return F.call_function("shiftleft", F.lit(-1).cast("long"), place.cast("int"))
+
+
 def put(x: Column, place: Column) -> Column:
     return x.bitwiseOR(_one(place))
 
@@ -36,7 +41,7 @@ def invert(x: Column) -> Column:
 
 def first_set(x: Column) -> Column:
     """The lowest bit's place: of x and -x only it stays, and one less has as many ones as its place."""
-    return F.when(x == 0, F.lit(-1)).otherwise(F.bit_count(x.bitwiseAND(F.bitwise_not(x) + 1) - 1))
+    return F.when(x == 0, F.lit(-1)).when(x == F.lit(-(2**63)), F.lit(63)).otherwise(F.bit_count(x.bitwiseAND(F.bitwise_not(x) + 1) - 1))
 
 
 def last_set(x: Column) -> Column:
@@ -45,13 +50,13 @@ def last_set(x: Column) -> Column:
 
 def next_set(x: Column, place: Column) -> Column:
     """The lowest place above ``place`` that is set."""
-    above = F.when(place >= 63, F.lit(0).cast("long")).otherwise(x.bitwiseAND(F.bitwise_not(_one(place + 1) - 1)))
+    above = F.when(place >= 63, F.lit(0).cast("long")).otherwise(x.bitwiseAND(_from(place + 1)))
     return first_set(above)
 
 
 def previous_set(x: Column, place: Column) -> Column:
     """The highest place below ``place`` that is set."""
-    return last_set(x.bitwiseAND(_one(place) - 1))
+    return last_set(x.bitwiseAND(F.bitwise_not(_from(place))))
 
 
 def log2(x: Column) -> Column:
