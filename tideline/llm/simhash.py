@@ -23,6 +23,7 @@ table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -38,22 +39,32 @@ FAN = 8
 SEED = 42
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The 64-bit fingerprint, as a signed integer."""
+_MORE = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
+
+
+def wide_fingerprint(text: bytes, shingle: int, width: int) -> np.ndarray:
+    """``width`` times 64 bits: the first 64 from the shingles' XXH64, the others from values mixed from it."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(width, np.uint64)
     if len(words) <= shingle:
         joined = [b" ".join(words)]
     else:
         joined = map(b" ".join, zip(*(words[k:] for k in range(shingle))))  # noqa: B905
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    ones = np.zeros(64 * width, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12), None]
+        if width > 1:
+            more = part * np.array(_MORE[: width - 1])[None, :]
+            part = np.concatenate([part, more ^ (more >> np.uint64(32))], axis=1)
+        ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The 64-bit fingerprint, as a signed integer."""
+    return int(wide_fingerprint(text, shingle, 1).view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
@@ -70,19 +81,22 @@ def fingerprints(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """The place of each 64-bit code in the order of the reflected Gray code."""
+    """The place of each code (a row of 64-bit words, highest first) in the order of the reflected Gray code, as words."""
     out = codes.astype(np.uint64)
     for k in (1, 2, 4, 8, 16, 32):
         out = out ^ (out >> np.uint64(k))
-    return out
+    odd = np.bitwise_count(codes) & 1
+    before = (np.cumsum(odd, axis=1) - odd) & 1  # a word turns over after an odd number of ones
+    return np.where(before == 1, ~out, out)
 
 
 class GrayIndex:
-    """Codes sorted by (bucket, Gray rank), and levels of nodes above them."""
+    """Codes (rows of words) sorted by (bucket, Gray rank), and levels of nodes above them."""
 
     def __init__(self, codes: np.ndarray, buckets: np.ndarray):
-        order = np.lexsort((gray_rank(codes), buckets))
-        self.codes, self.buckets = codes[order], buckets[order]
+        codes = codes.reshape(len(buckets), -1)
+        order = np.lexsort((*gray_rank(codes).T[::-1], buckets))
+        self.order, self.codes, self.buckets = order, codes[order], buckets[order]
         new = np.concatenate([[True], self.buckets[1:] != self.buckets[:-1]])
         firsts = np.flatnonzero(new)
         self.ends = np.append(firsts[1:], len(codes))[np.cumsum(new) - 1]  # where each code's bucket ends
@@ -91,13 +105,17 @@ class GrayIndex:
         ones, zeros = [self.codes], [~self.codes]
         while len(ones[-1]) > 1:
             at = np.arange(0, len(ones[-1]), FAN)
-            ones.append(np.bitwise_and.reduceat(ones[-1], at))
-            zeros.append(np.bitwise_and.reduceat(zeros[-1], at))
+            ones.append(np.bitwise_and.reduceat(ones[-1], at, axis=0))
+            zeros.append(np.bitwise_and.reduceat(zeros[-1], at, axis=0))
         self.patterns = ones
         self.masks = [a | b for a, b in zip(ones, zeros, strict=True)]  # agreed bits; at level 0 all
         #: agreed bits that are not the parent's
         self.own = [m & ~self.masks[k + 1][np.arange(len(m)) // FAN] for k, m in enumerate(self.masks[:-1])] + [self.masks[-1]]
 
+    @staticmethod
+    def _apart(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((a ^ b) & mask).sum(1, dtype=np.int32)
+
     def links(self, most: int, chunk: int = 1 << 18) -> np.ndarray:
         """A label for each code: equal for codes of a bucket that are linked directly or by others."""
         n = len(self.codes)
@@ -137,7 +155,7 @@ class GrayIndex:
         counts = last - first + 1
         q = np.repeat(queries, counts)
         node = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-        apart = np.bitwise_count((self.codes[q] ^ self.patterns[start][node]) & self.masks[start][node])
+        apart = self._apart(self.codes[q], self.patterns[start][node], self.masks[start][node])
         uniform = self._uniform(labels) if start else [labels]
         for k in range(start, -1, -1):
             keep = (apart <= most) & (uniform[k][node] != labels[q])
@@ -154,7 +172,7 @@ class GrayIndex:
             # only what comes after the query, within its bucket
             keep = (node >= q >> (3 * (k - 1))) & (node <= (self.ends[q] - 1) >> (3 * (k - 1)))
             q, node, apart = q[keep], node[keep], apart[keep]
-            apart = apart + np.bitwise_count((self.codes[q] ^ self.patterns[k - 1][node]) & self.own[k - 1][node])
+            apart = apart + self._apart(self.codes[q], self.patterns[k - 1][node], self.own[k - 1][node])
         keep = (node > q) & (self.buckets[node] == self.buckets[q])
         return q[keep], node[keep]
 
@@ -177,32 +195,33 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _forest(most: int, hold: int):
-    """Rows (bucket, fp), those of a bucket together: (a, b), b the smallest code linked to a."""
+    """Rows (bucket, node, code), those of a bucket together: (a, b), b the smallest node linked to a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(buckets: np.ndarray, codes: np.ndarray):
-            index = GrayIndex(codes.view(np.uint64), buckets)
+        def solve(buckets: np.ndarray, nodes: np.ndarray, codes: np.ndarray):
+            index = GrayIndex(codes, buckets)
             labels = index.links(most)
             order = np.argsort(labels, kind="stable")
-            a, which = index.codes.view(np.int64)[order], labels[order]
+            a, which = nodes[index.order][order], labels[order]
             begin = np.concatenate([[True], which[1:] != which[:-1]])
             least = np.minimum.reduceat(a, np.flatnonzero(begin))[np.cumsum(begin) - 1]
             keep = a != least
             yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(least[keep], pa.int64())], ["a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
         size = 0
         for batch in batches:
-            b, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            held.append((b, c))
+            b, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            c = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(len(b), -1)
+            held.append((b, n, c))
             size += len(b)
             if size >= hold:
-                b, c = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(b != b[-1], False)) if (b != b[-1]).any() else 0
-                cut = int(np.flatnonzero(b != b[-1])[-1]) + 1 if cut else 0
+                b, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
+                others = np.flatnonzero(b != b[-1])
+                cut = int(others[-1]) + 1 if len(others) else 0  # where the last bucket begins
                 if cut:
-                    yield from solve(b[:cut], c[:cut])
-                held, size = [(b[cut:], c[cut:])], len(b) - cut
+                    yield from solve(b[:cut], n[:cut], c[:cut])
+                held, size = [(b[cut:], n[cut:], c[cut:])], len(b) - cut
         if size:
             yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -233,7 +252,8 @@ def local_links(fps: DataFrame, most: int, hot_bucket: int, hold: int = 400_000)
     marked = keyed.join(hot, ["block", "bucket"], "left")
     dealt = marked.select("fp", F.explode(F.when(F.col("hot"), split).otherwise(F.array("bucket"))).alias("bucket"))
     # a collision of bucket numbers only adds comparisons, which are of whole codes
-    return dealt.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest(most, hold), "a long, b long")
+    code = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    return dealt.select("bucket", "fp", code.alias("code")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest(most, hold), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,11 +288,67 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, most: int = 3, hot_bucket:
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "key", "root")
 
 
+# ---- near copies by an estimated similarity
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """The expected differing bits of two sets of shingles with a Jaccard similarity.
+
+    Two SimHash bits differ with probability angle / pi, and equal-sized sets with
+    similarity s are at an angle whose cosine is 2 s / (1 + s).
+    """
+    return round(bits * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+
+
+def bucket_bits(bits: int, tables: int, key_bits: int) -> np.ndarray:
+    """For each table the places of its key's bits: disjoint blocks first, then more of another order."""
+    rng, out = np.random.default_rng(64), np.arange(bits)
+    rows = [out[k * key_bits : (k + 1) * key_bits] for k in range(bits // key_bits)]
+    while len(rows) < tables:
+        out = rng.permutation(bits)
+        rows += [out[k * key_bits : (k + 1) * key_bits] for k in range(bits // key_bits)]
+    return np.array(rows[:tables])
+
+
+def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, width: int = 4, tables: int = 32, key_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", key_col: str) -> DataFrame:
+    """doc_id, key (unique, that of ``key_col``) and root (equal in a group) of every document.
+
+    Fingerprints have ``64 * width`` bits and link if they differ in no more bits than
+    texts of ``similarity`` do on average.  That is too many for one of a few blocks to be
+    the same for sure, so that candidates share the key of one of ``tables`` tables; of
+    pairs with that very similarity 9 in 10 do, of closer ones more.
+    """
+    places = bucket_bits(64 * width, tables, key_bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [wide_fingerprint(t.as_py() or b"", shingle, width).astype(">u8").tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["doc_id", "key", "code"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(key_bits)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+                keys = (bits[:, places] * weights).sum(2) + (np.arange(tables) << key_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), tables))), part.column(1).take(pa.array(np.repeat(np.arange(part.num_rows), tables)))], ["bucket", "node", "code"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    marked = written(rows.mapInArrow(mark, "doc_id long, key long, code binary"), "wide-codes")
+    nodes = written(marked.groupBy("code").agg(F.min("key").alias("node")), "wide-nodes")
+    dealt = nodes.select("node", "code").mapInArrow(deal, "bucket long, node long, code binary").repartition("bucket").sortWithinPartitions("bucket")
+    edges = dealt.mapInArrow(_forest(bits_apart(similarity, 64 * width), 100_000), "a long, b long")
+    labels = components(edges).select(F.col("node").alias("n"), "root")
+    rooted = nodes.join(labels, nodes["node"] == F.col("n"), "left").select("code", F.coalesce("root", "node").alias("root"))
+    return marked.join(rooted, "code").select("doc_id", "key", "root")
+
+
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group, with the columns of ``docs``: the smallest doc_id, of repeated ones one row."""
+    """One document of each group of similar texts, with the columns of ``docs``: the smallest doc_id, of repeated ones one row."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = new_name(docs, "row_key")
-    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "near-rows", "zstd")
-    groups = near_groups(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, **options)
+    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "near-rows")
+    groups = similar_groups(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, **options)
     keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias(key))
     return numbered.join(keep.select(key), key, "left_semi").select(*columns)
