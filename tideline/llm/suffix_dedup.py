@@ -304,14 +304,15 @@ def _list_spans(length: int, hot_step: int, hold: int = 24 << 20):
                 for r, is_hot in zip(wanted[t], hot[t], strict=True):
                     k = begin[t] + r
                     a, b, m, h = int(first[k]), int(last[k]), int(anchor[k]), int(hashes[k])
-                    cuts = [(a, b)] if not is_hot else [(x, min(b, x + hot_step - 1)) for x in range(a - a % hot_step, b + 1, hot_step)]
-                    for x, y in cuts:
-                        x = max(x, a)
+                    # a hot run is cut by its windows' distance from the anchor, which equal windows share
+                    cuts = [None] if not is_hot else range((m - b) // hot_step, (m - a) // hot_step + 1)
+                    for c in cuts:
+                        x, y, group, mid = a, b, h, m
+                        if c is not None:  # the bytes that all windows of the cut hold
+                            mid = m - c * hot_step
+                            x, y = max(a, mid - hot_step + 1), min(b, mid)
+                            group = int.from_bytes(hashlib.blake2b(data[mid : mid - hot_step + 1 + length], digest_size=8, salt=b"%d" % c).digest(), "little", signed=True)
                         span = data[x : y + length]
-                        group, mid = h, m
-                        if is_hot:  # the bytes that all windows of the cut share
-                            mid = y
-                            group = int.from_bytes(hashlib.blake2b(data[y : x + length], digest_size=8, salt=b"%d" % (y - x)).digest(), "little", signed=True)
                         name = hashlib.blake2b(span, digest_size=16, salt=b"%d" % (mid - x)).digest()
                         if (row := seen.get(name)) is None:
                             seen[name] = [ref, group, mid - y, mid - x, span, False, [key], [mid]]

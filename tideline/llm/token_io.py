@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, written
-from .tokenizing import encoder_of
+from .tokenizing import encoder_of, small_batches
 
 MAGIC = b"RPTK"
 #: magic, version, bytes a symbol, first nonterminal, rules, documents, symbols, ids
@@ -43,47 +43,59 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def re_pair(ids: np.ndarray, begins: np.ndarray, first_symbol: int, rounds: int, min_count: int, max_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, begins, lefts, rights): ``begins`` marks the first symbol of each document."""
-    seq, begins = ids.astype(np.uint32), begins.copy()
-    lefts, rights, made = [], [], 0
-    bits = max(10, min(20, int(len(seq)).bit_length()))
+    """(symbols, firsts, lefts, rights): ``begins`` marks each document's first id, ``firsts`` tells its first symbol.
+
+    A round counts pairs in cells of a hash table; of the fullest cells the first pair of
+    each is counted exactly, the others wait for a later round.
+    """
+    seq, firsts = ids.astype(np.uint32), np.flatnonzero(begins)
+    lefts, rights = [], []
+    bits = max(10, min(18, int(len(seq)).bit_length()))
+    per_round = -(-max_rules // rounds)
     for _ in range(rounds):
-        if len(seq) < 2 or made >= max_rules:
+        if len(seq) < 2:
             break
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        cell = (pair * _SPREAD >> np.uint64(64 - bits)).astype(np.int32)
-        inside = ~begins[1:]
-        kept = np.zeros(1 << bits, np.uint64)  # of each cell one pair, the others wait for a later round
-        kept[cell[inside][::-1]] = pair[inside][::-1]
-        same = kept[cell] == pair
-        same &= inside
-        counts = np.bincount(cell[same], minlength=1 << bits)
-        top = np.flatnonzero(counts >= min_count)
-        top = top[np.lexsort((kept[top], -counts[top]))][: 4 * max_rules]
+        cell = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)
+        cell[firsts[firsts > 0] - 1] = 0  # cell 0 is never full: pairs over the edge of two documents
+        counts = np.bincount(cell, minlength=1 << bits)
+        counts[0] = 0
+        full = np.flatnonzero(counts >= min_count)
+        if len(full) > 2 * per_round:
+            full = full[np.argpartition(-counts[full], 2 * per_round)[: 2 * per_round]]
+        is_full = np.zeros(1 << bits, bool)
+        is_full[full] = True
+        where = np.flatnonzero(is_full[cell])
+        cells = cell[where].astype(np.int64)
+        pair = seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]
+        kept = np.zeros(1 << bits, np.uint64)
+        kept[cells[::-1]] = pair[::-1]
+        same = kept[cells] == pair
+        where, cells = where[same], cells[same]
+        counts = np.bincount(cells, minlength=1 << bits)[full]
+        order = np.lexsort((kept[full], -counts))
         rule = np.zeros(1 << bits, np.uint32)
-        on_left, on_right = set(), set()
-        for c, p in zip(top.tolist(), kept[top].tolist(), strict=True):
+        on_left, on_right, stop = set(), set(), len(lefts) + per_round
+        for c, p, n in zip(full[order].tolist(), kept[full[order]].tolist(), counts[order].tolist(), strict=True):
+            if n < min_count or len(lefts) >= stop:
+                break
             a, b = p >> 32, p & 0xFFFFFFFF
             if a == b or a in on_right or b in on_left:
                 continue
             on_left.add(a)
             on_right.add(b)
-            rule[c] = first_symbol + made
+            rule[c] = first_symbol + len(lefts)
             lefts.append(a)
             rights.append(b)
-            made += 1
-            if made >= max_rules:
-                break
-        hit = rule[cell]
-        hit[~same] = 0
-        where = np.flatnonzero(hit)
+        hit = rule[cells]
+        where, hit = where[hit > 0], hit[hit > 0]
         if not len(where):
             break
-        seq[where] = hit[where]
+        seq[where] = hit
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq, begins = seq[keep], begins[keep]
-    return seq, begins, np.array(lefts, np.uint32), np.array(rights, np.uint32)
+        seq = seq[keep]
+        firsts = firsts - np.searchsorted(where + 1, firsts)
+    return seq, firsts, np.array(lefts, np.uint32), np.array(rights, np.uint32)
 
 
 def expansion_lengths(lefts: np.ndarray, rights: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -93,14 +105,14 @@ def expansion_lengths(lefts: np.ndarray, rights: np.ndarray, first_symbol: int)
     return out
 
 
-def encode_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, first_symbol: int, *, rounds: int = 6, min_count: int = 16, max_rules: int = 12_000) -> bytes:
+def encode_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, first_symbol: int, *, rounds: int = 4, min_count: int = 16, max_rules: int = 12_000) -> bytes:
     begins = np.zeros(len(ids), bool)
     begins[np.cumsum(counts) - counts] = True  # every document has its end id at least
-    seq, begins, lefts, rights = re_pair(ids, begins, first_symbol, rounds, min_count, max_rules)
+    seq, firsts, lefts, rights = re_pair(ids, begins, first_symbol, rounds, min_count, max_rules)
     wide = 2 if first_symbol + len(lefts) <= 1 << 16 else 4
     keys = np.array([_NO_ID if i is None else i for i in doc_ids], "<i8")
     head = _HEAD.pack(MAGIC, 1, wide, first_symbol, len(lefts), len(keys), len(seq), len(ids))
-    parts = [lefts.astype("<u4"), rights.astype("<u4"), expansion_lengths(lefts, rights, first_symbol).astype("<u4"), keys, counts.astype("<i8"), np.flatnonzero(begins).astype("<i8"), seq.astype(f"<u{wide}")]
+    parts = [lefts.astype("<u4"), rights.astype("<u4"), expansion_lengths(lefts, rights, first_symbol).astype("<u4"), keys, counts.astype("<i8"), firsts.astype("<i8"), seq.astype(f"<u{wide}")]
     return b"".join([head, *(p.tobytes() for p in parts)])
 
 
@@ -174,7 +186,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
     fs.move(own, f"{path}/{name}")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | Callable[[], str], *, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 6, min_count: int = 16, max_rules: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | Callable[[], str], *, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 4, min_count: int = 16, max_rules: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents to ``folder``; a row per file: task, shard, name, n_docs, n_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +203,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | Callable[[]
             shard, keys, counts, ids = shard + 1, [], [], []
             return row
 
-        for batch in batches:
-            flat, n = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+        for batch in (b for large in batches for b in small_batches(large)):
+            flat, n = encoder.encode(batch.column(1), end_id)
             keys += batch.column(0).to_pylist()
             counts.append(n)
             ids.append(flat)

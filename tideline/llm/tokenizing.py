@@ -44,10 +44,14 @@ def encoder_of(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def small_batches(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """A batch in parts whose words fit in little memory at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def small_batches(batch: pa.RecordBatch, size: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of a column's text: what is made of a part fits in little memory."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size)))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 class Ragged:
@@ -77,7 +81,11 @@ class Ragged:
         starts = edges[index]
         n = edges[index + 1] - starts
         last = np.cumsum(n)
-        return flat[np.repeat(starts - (last - n), n) + np.arange(int(last[-1]) if len(last) else 0)], n
+        size = int(last[-1]) if len(last) else 0
+        kind = np.int32 if max(size, len(flat)) < 2**31 else np.int64
+        at = np.repeat((starts - (last - n)).astype(kind), n)
+        at += np.arange(size, dtype=kind)
+        return flat[at], n
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -88,7 +96,7 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    def __init__(self, path: str, max_pieces: int = 300_000, max_words: int = 500_000):
+    def __init__(self, path: str, max_pieces: int = 500_000, max_words: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         #: the same model for what is a single word in normal form already
         self.merger = Tokenizer(self.tokenizer.model)
