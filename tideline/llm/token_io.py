@@ -4,7 +4,8 @@ Documents are put in ascending doc_id order by a range partitioning; each task c
 run into shards of about ``shard_ids`` ids.  In a shard, frequent pairs of neighbouring
 symbols within a document are replaced by new symbols again and again: each round counts
 all pairs, takes the most frequent (at least ``min_count`` each) such that no symbol is
-the left of one and the right of another, so that no two replacements overlap, and
+the left of one and the right of another (a pair of one symbol twice has it for itself),
+so that no two replacements overlap, and
 replaces them all at once.
 
 A file (little-endian): magic, version, counts; the rules as two arrays (left, right)
@@ -79,7 +80,7 @@ def re_pair(ids: np.ndarray, begins: np.ndarray, first_symbol: int, rounds: int,
             if n < min_count or len(lefts) >= stop:
                 break
             a, b = p >> 32, p & 0xFFFFFFFF
-            if a == b or a in on_right or b in on_left:
+            if a in on_right or b in on_left or (a == b and a in on_left):
                 continue
             on_left.add(a)
             on_right.add(b)
@@ -90,6 +91,10 @@ def re_pair(ids: np.ndarray, begins: np.ndarray, first_symbol: int, rounds: int,
         where, hit = where[hit > 0], hit[hit > 0]
         if not len(where):
             break
+        # only a pair of the same symbol twice can overlap itself: of a run every other place counts
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], where[1:] != where[:-1] + 1]), where, 0))
+        free = (where - start) % 2 == 0
+        where, hit = where[free], hit[free]
         seq[where] = hit
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False

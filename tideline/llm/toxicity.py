@@ -229,7 +229,7 @@ def signature(names: set[str]) -> np.ndarray:
     return ((h[:, None] * _MIX[None, :]) >> np.uint64(29)).astype(np.uint32).min(0)
 
 
-def independent(signatures: np.ndarray, similar: float = 0.4) -> np.ndarray:
+def independent(signatures: np.ndarray, similar: float = 0.6) -> np.ndarray:
     """Rows that are no near copies of a row before them."""
     kept: list[int] = []
     for k in range(len(signatures)):
