@@ -116,9 +116,10 @@ class GrayIndex:
     def _apart(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return np.bitwise_count((a ^ b) & mask).sum(1, dtype=np.int32)
 
-    def links(self, most: int, chunk: int = 1 << 18) -> np.ndarray:
+    def links(self, most: int, chunk: int | None = None) -> np.ndarray:
         """A label for each code: equal for codes of a bucket that are linked directly or by others."""
         n = len(self.codes)
+        chunk = chunk or (1 << 17) // self.codes.shape[1]  # ways down at once; memory grows with the width
         labels = np.arange(n)
         level = np.zeros(n, np.int64)
         while True:  # begin where a bucket spans a few nodes
