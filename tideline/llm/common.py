@@ -10,6 +10,8 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import importable
+
 _OWN_DIR = "/tmp/checkpoints"
 _written: list[tuple[weakref.ref, str]] = []
 _paths: dict[int, str] = {}
@@ -81,4 +83,4 @@ def new_name(df: DataFrame, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
