@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workers import importable
@@ -74,6 +76,17 @@ def _remove_all() -> None:
 atexit.register(_remove_all)
 
 
+def given_back(batches):
+    """Batches of a task in Python; at its end the worker, which lives on, gives free memory back to the system."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_back
 from .tokenizing import WordEncoder, encoder_of, small_batches
 
 
@@ -212,4 +213,4 @@ def pack(
         yield from out(True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lambda b: given_back(run(b)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

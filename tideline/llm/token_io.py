@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import given_back, new_path, written
 from .tokenizing import encoder_of, small_batches
 
 MAGIC = b"RPTK"
@@ -219,7 +219,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | Callable[[]
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "task int, shard int, name string, n_docs long, n_ids long")
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lambda b: given_back(run(b)), "task int, shard int, name string, n_docs long, n_ids long")
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -242,7 +242,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rptk").load(folder).select("path", "content")
-    return files.mapInArrow(run, "name string, number long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lambda b: given_back(run(b)), "name string, number long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str | Callable[[], str], folder: str | None = None, *, end_id: int = 0, **options) -> DataFrame:

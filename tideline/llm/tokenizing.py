@@ -96,7 +96,7 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    def __init__(self, path: str, max_pieces: int = 500_000, max_words: int = 500_000):
+    def __init__(self, path: str, max_pieces: int = 200_000, max_words: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         #: the same model for what is a single word in normal form already
         self.merger = Tokenizer(self.tokenizer.model)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import given_back, written
 
 #: what a sign may stand for (fixed values)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y"}
@@ -107,7 +107,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             part = codes[at : at + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["code", "n"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: given_back(run(b)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << 20, np.float64)
     out[found["code"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -320,7 +320,7 @@ def learn(docs: DataFrame, labels: DataFrame, shared, *, max_labelled: int = 20_
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
         return Model({}, 20.0 if n_toxic else -20.0)
-    found = rows.select("text", "toxic").mapInArrow(tally, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = rows.select("text", "toxic").mapInArrow(lambda b: given_back(tally(b)), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     ratio = F.col("a") * n_clean > F.col("b") * n_toxic * 4
     x, y = F.col("a") / n_toxic, (F.col("a") + F.col("b")) / (n_toxic + n_clean)
     strength = F.col("a") * F.log(x / y)
@@ -337,7 +337,7 @@ def learn(docs: DataFrame, labels: DataFrame, shared, *, max_labelled: int = 20_
                 marks.append(signature(names).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64())), batch.column(1)], ["held", "marks", "toxic"])
 
-    table = rows.select("text", "toxic").mapInArrow(hold, "held array<int>, marks array<bigint>, toxic int").toArrow()
+    table = rows.select("text", "toxic").mapInArrow(lambda b: given_back(hold(b)), "held array<int>, marks array<bigint>, toxic int").toArrow()
     marks = np.array(table["marks"].to_pylist(), np.int64).reshape(-1, SIGNATURE)
     picked, weights, base = fit([np.array(h, np.int64) for h in table["held"].to_pylist()], marks, table["toxic"].to_numpy() > 0, len(names), max_features, ridge, toxic_weight)
     return Model({names[k]: float(q) for k, q in zip(picked, weights, strict=True)}, base)
@@ -357,7 +357,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
     key = F.col(key_col) if key_col else F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.cast("long").alias("key"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, key long, score double")
+    out = rows.mapInArrow(lambda b: given_back(run(b)), "doc_id long, key long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "key")
 
 
@@ -371,6 +371,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, d = model.value, decoder.value
         for batch in batches:
-            yield batch.filter(pa.array([m.score(t.as_py(), d) < 0.5 for t in batch.column(place)], pa.bool_()))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array([m.score(t.as_py(), d) < 0.5 for t in part.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: given_back(run(b)), docs.schema)
