@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import given_back
-from .tokenizing import WordEncoder, encoder_of, small_batches
+from .tokenizing import MAX_PIECES, MAX_WORDS, WordEncoder, encoder_of, small_batches
 
 
 def padding(length: int, window: int) -> int:
@@ -179,17 +179,20 @@ def pack(
     grain: int = 64,
     fill: int = 512,
     block: int = 1 << 19,
+    max_pieces: int = MAX_PIECES,
+    max_words: int = MAX_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    ``max_pieces`` and ``max_words`` bound a worker's tables, and so its memory.
     A sequence lies within one task's run of documents; its id holds the task's number
     and its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path() if callable(tokenizer_path) else tokenizer_path)
+        encoder = encoder_of(tokenizer_path() if callable(tokenizer_path) else tokenizer_path, max_pieces, max_words)
         packer = _Packer(window, sentence_table(encoder), sentence_cut, any_cut, per_window, grain, fill, block)
         base = TaskContext.get().partitionId() << 36
 

@@ -34,14 +34,17 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
 _KEEPS_SPACE = re.compile(f"\0|{_CONTRACTIONS} ?[{_L}]+| ?[{_N}]+| ?[^\0{_W}{_L}{_N}]+|[{_W}]+(?![^\0{_W}])|[{_W}]+")
 _DROPS_SPACE = re.compile(f"\0|{_CONTRACTIONS}[{_L}]+|[{_N}]|[^\0{_W}{_L}{_N}]+")
 
-_encoders: dict[str, WordEncoder] = {}
+MAX_PIECES, MAX_WORDS = 300_000, 500_000  # about 150 MB a worker
 
+_encoders: dict[tuple, WordEncoder] = {}
 
-def encoder_of(path: str) -> WordEncoder:
-    """The encoder of this process: later tasks of a worker find its table filled."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+
+def encoder_of(path: str, max_pieces: int = MAX_PIECES, max_words: int = MAX_WORDS) -> WordEncoder:
+    """The encoder of this process: later tasks of a worker find its tables filled."""
+    key = path, max_pieces, max_words
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
 
 
 def small_batches(batch: pa.RecordBatch, size: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
@@ -96,7 +99,7 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    def __init__(self, path: str, max_pieces: int = 200_000, max_words: int = 250_000):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES, max_words: int = MAX_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
         #: the same model for what is a single word in normal form already
         self.merger = Tokenizer(self.tokenizer.model)
