@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_name, written
+from .common import drop_written, given_back, new_name, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = 2**63 - 1
@@ -211,18 +211,24 @@ def _resolve(memory_bytes: int):
     return run
 
 
+def _groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, chunk_bytes: int = 48 << 20, memory_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """The groups, and the written table of local contents that they are read from."""
+    key = F.col(key_col) if key_col else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.length(text_col).cast("long").alias("c"), key.cast("long").alias("key"))
+    local = written(rows.mapInArrow(lambda b: given_back(_combine(chunk_bytes)(b)), _LOCAL), "exact-local")
+    contents = local.where(F.col("content").isNotNull()).select("gid", "digest", "content", "best_chars", "best_id", "best_uid", "n_rows")
+    verdict = contents.repartition("digest").mapInArrow(lambda b: given_back(_resolve(memory_bytes)(b)), _VERDICT)
+    groups = local.select("uid", "gid", "key", "doc_id", "text_sha256").join(verdict, "gid").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "key")
+    return groups, local
+
+
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, chunk_bytes: int = 48 << 20, memory_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, key (that of ``key_col``).
 
     ``chunk_bytes`` bounds what a task combines at once, ``memory_bytes`` the distinct
     contents a table holds before it spills.
     """
-    key = F.col(key_col) if key_col else F.lit(None)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.length(text_col).cast("long").alias("c"), key.cast("long").alias("key"))
-    local = written(rows.mapInArrow(_combine(chunk_bytes), _LOCAL), "exact-local")
-    contents = local.where(F.col("content").isNotNull()).select("gid", "digest", "content", "best_chars", "best_id", "best_uid", "n_rows")
-    verdict = contents.repartition("digest").mapInArrow(_resolve(memory_bytes), _VERDICT)
-    return local.select("uid", "gid", "key", "doc_id", "text_sha256").join(verdict, "gid").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "key")
+    return _groups(docs, id_col=id_col, text_col=text_col, key_col=key_col, chunk_bytes=chunk_bytes, memory_bytes=memory_bytes)[0]
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 48 << 20, memory_bytes: int = 64 << 20) -> DataFrame:
@@ -230,5 +236,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = new_name(docs, "row_key")
     numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "exact-rows")
-    groups = exact_groups(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, chunk_bytes=chunk_bytes, memory_bytes=memory_bytes)
-    return numbered.join(groups.where("kept").select(F.col("key").alias(key)), key, "left_semi").select(*columns)
+    groups, local = _groups(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, chunk_bytes=chunk_bytes, memory_bytes=memory_bytes)
+    kept = written(groups.where("kept").select(F.col("key").alias(key)), "exact-kept")
+    del groups
+    drop_written(docs.sparkSession, local)  # the contents have been compared
+    return numbered.join(kept.hint("merge"), key, "left_semi").select(*columns)  # the same plan at every size
