@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -235,6 +236,24 @@ def test_toxicity_learns_and_restores(spark, awkward, empty):
     assert kept.columns == df.columns and kept.count() == sum(1 - r.predicted for r in rows.values())
 
 
+
+def test_quick_search_is_the_plain_search():
+    signs = toxicity._SIGNS
+    plain = re.compile(rf"[^\s]*(?:[^\W\d_][\d{signs}.\-*~_]+[^\W\d_]|(?<!\S)[\d@$!][^\W\d_]{{2}}|([^\W\d_])\1\1)[^\s]*")
+
+    class Seen:
+        def decode(self, x):
+            return x
+
+    rng = random.Random(14)
+    texts = ["s  t u p i d", "s. t. u. p. i. d", "s  t  u  p  i  d", "stu.pid", "id-iot", "st-u-pid", "mo.ro.n", "so ééét", "a\rb0b\x0bc"]
+    texts += ["".join(rng.choice("aabééc  ..--_*~01@$!\n\r\t'") for _ in range(rng.randint(1, 40))) for _ in range(5000)]
+    for t in texts:
+        want = {m.group() for p in (plain, toxicity._SPACED, toxicity._DOTTED) for m in p.finditer(t)}
+        assert want <= set(toxicity.restored(t, Seen())), t
+    assert all(toxicity.restored(t, Seen()) for t in texts[:9])
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score < 0.5 for r in toxicity.scored(awkward, none).collect()} == {True}

@@ -43,11 +43,12 @@ GAPS = " .-_*~'"
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(k for k in LEET if not k.isdigit()))
 # each begins with the rarest character of its match, so that searching is quick
-_AMONG = re.compile(rf"[\d{_SIGNS}*~_](?<=[^\W\d_].)[\d{_SIGNS}*~_]*(?=[^\W\d_])")
+_AMONG = re.compile(rf"[\d{_SIGNS}.\-*~_](?<=[^\W\d_].)[\d{_SIGNS}.\-*~_]*(?=[^\W\d_])")
 _BEFORE = re.compile(r"[\d@$!](?<![^\s].)(?=[^\W\d_]{2})")
-_REPEATED = re.compile(r"([a-z])\1\1")
+_REPEATED = re.compile(r"([^\W\d_])\1\1")
 _TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
-_ALONE = re.compile(rf"[ .\-_*~][\w{_SIGNS}][ .\-_*~][\w{_SIGNS}][ .\-_*~]")
+# in every match of the two that follow
+_ALONE = re.compile(rf"[ .\-_*~][\w{_SIGNS}][ .\-_*~]{{1,2}}[\w{_SIGNS}][ .\-_*~]")
 _SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}][ .\-_*~]{{1,2}}){{3,}}[\w{_SIGNS}](?![\w{_SIGNS}])")
 _DOTTED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}][.\-_*~]){{3,}}[\w{_SIGNS}](?![\w{_SIGNS}])")
 _SPACE = re.compile(r"\s")
@@ -178,12 +179,14 @@ def restored(text: str, decoder: Decoder | None) -> list[str]:
         return []
     spots = [m.start() for m in _AMONG.finditer(text)]
     spots += [m.start() for m in _BEFORE.finditer(text)]
-    if any(t in text for t in _TRIPLES):
+    if not text.isascii() or any(t in text for t in _TRIPLES):
         spots += [m.start() for m in _REPEATED.finditer(text)]
     found, end = set(), -1
     for spot in sorted(spots):
         if spot >= end:  # the run without white space around it
             start = max(text.rfind(" ", 0, spot), text.rfind("\n", 0, spot), text.rfind("\t", 0, spot)) + 1
+            for m in _SPACE.finditer(text, start, spot):  # white space of other kinds
+                start = m.end()
             m = _SPACE.search(text, spot)
             end = m.start() if m else len(text)
             found.add(text[start:end])
