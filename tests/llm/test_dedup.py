@@ -220,61 +220,6 @@ def test_passages(spark, empty, awkward):
     assert {(1, 2), (2, 1)} & {tuple(r) for r in again}
 
 
-def brute_passage(a, b, min_words=50, similarity=0.8):
-    """Whether some windows of about ``min_words`` of a and b have the share in common, in step."""
-    return any(sum(v == w for v, w in zip(a[i : i + min_words], b[j : j + min_words], strict=False)) >= similarity * min_words for i in range(len(a) - min_words + 1) for j in range(len(b) - min_words + 1))
-
-
-def test_passages_of_frequent_lines(spark):
-    rng = random.Random(11)
-    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
-    lines = [words(15) for _ in range(12)]
-    # every line is in 40 documents before and after, each for itself; 50 and 51 share four of them in a row
-    docs = {k: [w for line in rng.sample(lines, 12) for w in words(9) + line] for k in (*range(40), *range(60, 100))}
-    shared = lines[3] + lines[7] + lines[1] + lines[9]
-    docs |= {50: words(30) + shared + words(20), 51: words(45) + shared + words(10)}
-    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string").repartition(3)
-    found = {(r.doc_id, r.other_id): r for r in chain_dedup.fuzzy_passages(df).collect()}
-    want = {(a, b) for a in docs for b in docs if a != b and {a, b} & {50, 51} and brute_passage(docs[a], docs[b])}
-    assert want == {(50, 51), (51, 50)} and want <= set(found)
-    assert (found[50, 51].start, found[50, 51].end, found[50, 51].other_start) == (30, 90, 45)
-
-
-def test_fuzzy_families_link_all(spark):
-    rng = random.Random(12)
-    base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
-    far = lambda at: [w if k % 4 != at else f"v{rng.randint(0, 10**6)}" for k, w in enumerate(base)]
-    mid = [w if k % 9 else "other" for k, w in enumerate(base)]
-    docs = {1: base[:30], 2: base, 3: mid, 4: base[25:], 5: far(1)}
-    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
-    assert {(2, 3), (3, 2)} <= {(r.doc_id, r.other_id) for r in chain_dedup.fuzzy_passages(df).collect()}
-
-
-def test_passages_recall_at_the_stated_similarity(spark):
-    rng = random.Random(13)
-    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
-    rows, pairs = [], 0
-    for n, rate in ((50, 0.2), (55, 0.1), (55, 0.15), (55, 0.18), (80, 0.18), (120, 0.18)):
-        for _ in range(40):
-            a = words(n)
-            changed = set(rng.sample(range(n), int(n * rate)))
-            b = [w if k not in changed else f"v{rng.randint(0, 10**6)}" for k, w in enumerate(a)]
-            rows += [(2 * pairs, " ".join(words(20) + a + words(20))), (2 * pairs + 1, " ".join(words(35) + b + words(9)))]
-            pairs += 1
-    found = {(r.doc_id, r.other_id) for r in chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {a // 2 - b // 2 for a, b in found} == {0}
-    assert len(found) / 2 >= 0.98 * pairs
-
-
-def test_local_passages():
-    a, b, c, d = ([f"{x}{k}" for k in range(60)] for x in "abcd")
-    assert chain_dedup.local_passages(a + b + c, a + d + d + c, 50, 0.8) == [(0, 60, 0, 60, 1.0), (120, 180, 180, 240, 1.0)]
-    moved = a[:20] + ["x", "y"] + a[20:40] + a[42:]
-    (one,) = chain_dedup.local_passages(b[:30] + a, c[:9] + moved, 50, 0.8)
-    assert one[1] - one[0] >= 50 and one[4] >= 0.8
-    assert chain_dedup.local_passages(a, b, 50, 0.8) == []
-
-
 def test_chains_against_brute_force():
     rng = random.Random(9)
     for _ in range(60):
