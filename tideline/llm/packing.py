@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import given_back
-from .tokenizing import MAX_PIECES, MAX_WORDS, WordEncoder, encoder_of, small_batches
+from .tokenizing import MAX_BYTES, WordEncoder, encoder_of, small_batches
 
 
 def padding(length: int, window: int) -> int:
@@ -49,9 +50,7 @@ def best_cuts(positions: list[int], cost: list[float], window: int, per_window:
     f, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(positions[0], 0)])  # f(i) + c_i ascends from the left
     at = {positions[0]: 0}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window][-6:]  # shorter ones are not worth a look
-    if window not in powers:
-        powers.append(window)
+    powers = [1 << k for k in range(window.bit_length())]
     get = at.get
     for j in range(1, n):
         c = positions[j]
@@ -60,7 +59,7 @@ def best_cuts(positions: list[int], cost: list[float], window: int, per_window:
             queue.popleft()
         value, i = queue[0]
         value += window - c
-        for p in powers:
+        for p in powers[(c - positions[j - 1] - 1).bit_length() :]:  # none begins within the last step
             if (k := get(c - p)) is not None and f[k] <= value:
                 value, i = f[k], k
         f[j] = value = value + cost[j] + per_window
@@ -157,8 +156,9 @@ class _Packer:
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+@lru_cache(2)
 def sentence_table(encoder: WordEncoder, marks: str = ".!?") -> np.ndarray:
-    """For each id, whether its token ends a sentence: only marks and closing signs."""
+    """For each id, whether its token ends a sentence: only marks and closing signs.  Made once a process."""
     n = encoder.tokenizer.get_vocab_size()
     table = np.zeros(n + 1, bool)
     for token, i in encoder.tokenizer.get_vocab().items():
@@ -179,20 +179,19 @@ def pack(
     grain: int = 64,
     fill: int = 512,
     block: int = 1 << 19,
-    max_pieces: int = MAX_PIECES,
-    max_words: int = MAX_WORDS,
+    max_bytes: int = MAX_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``max_pieces`` and ``max_words`` bound a worker's tables, and so its memory.
+    ``max_bytes`` bounds a worker's table of pieces.
     A sequence lies within one task's run of documents; its id holds the task's number
     and its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path() if callable(tokenizer_path) else tokenizer_path, max_pieces, max_words)
+        encoder = encoder_of(tokenizer_path() if callable(tokenizer_path) else tokenizer_path, max_bytes)
         packer = _Packer(window, sentence_table(encoder), sentence_cut, any_cut, per_window, grain, fill, block)
         base = TaskContext.get().partitionId() << 36
 

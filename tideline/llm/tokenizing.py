@@ -2,20 +2,22 @@
 
 The library splits a text into words by a pattern and merges within words only, and no
 word reaches over the start of a space that follows another character.  So texts are cut
-at white space, in Arrow; the distinct pieces that are new are cut into words by the same
-pattern; new words are encoded by the library; and the ids are put together: the result is
-the library's own for the whole text.  Pieces with characters whose classes could differ
+at white space, in Arrow; a batch's distinct pieces are cut into words by the same pattern;
+new words are encoded by the library; and the ids are put together: the result
+is the library's own for the whole text.  Pieces with characters whose classes could differ
 between versions of Unicode, or with the start of a special token, are encoded by the
 library as they are; so are texts with two spaces in a row where spaces are kept.
 
-The tables stop growing at ``max_pieces`` and ``max_words``; what is new after that is
-forgotten with its batch.
+A worker keeps the ids of words of up to ``MAX_KEY`` characters in two generations of a
+table: what is met goes to the young one; when that holds half of ``max_bytes`` it becomes
+the old one, and what the old one held goes.  There is one encoder a process and file.
 """
 
 from __future__ import annotations
 
 import gc
 import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -24,7 +26,9 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer, pre_tokenizers
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only hold more memory
+from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
 #: letters, digits and white space below U+0180, whose classes all versions of Unicode share
 _L, _N, _W = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
@@ -34,17 +38,18 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
 _KEEPS_SPACE = re.compile(f"\0|{_CONTRACTIONS} ?[{_L}]+| ?[{_N}]+| ?[^\0{_W}{_L}{_N}]+|[{_W}]+(?![^\0{_W}])|[{_W}]+")
 _DROPS_SPACE = re.compile(f"\0|{_CONTRACTIONS}[{_L}]+|[{_N}]|[^\0{_W}{_L}{_N}]+")
 
-MAX_PIECES, MAX_WORDS = 300_000, 500_000  # about 150 MB a worker
+MAX_BYTES, MAX_KEY = 64 << 20, 64
+_ENTRY = 180  # bytes of a word in a table besides its characters and ids
 
-_encoders: dict[tuple, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-def encoder_of(path: str, max_pieces: int = MAX_PIECES, max_words: int = MAX_WORDS) -> WordEncoder:
-    """The encoder of this process: later tasks of a worker find its tables filled."""
-    key = path, max_pieces, max_words
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(*key)
-    return _encoders[key]
+def encoder_of(path: str, max_bytes: int = MAX_BYTES) -> WordEncoder:
+    """The encoder of this process: later tasks of a worker find its table filled."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    _encoders[path].max_bytes = max_bytes
+    return _encoders[path]
 
 
 def small_batches(batch: pa.RecordBatch, size: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
@@ -99,7 +104,7 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    def __init__(self, path: str, max_pieces: int = MAX_PIECES, max_words: int = MAX_WORDS):
+    def __init__(self, path: str, max_bytes: int = MAX_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         #: the same model for what is a single word in normal form already
         self.merger = Tokenizer(self.tokenizer.model)
@@ -109,19 +114,20 @@ class WordEncoder:
         #: whether white space is dropped and never part of a token
         self.drops_space = spec["pre_tokenizer"]["type"] == "Sequence"
         self.pattern = _DROPS_SPACE if self.drops_space else _KEEPS_SPACE
-        self.max_pieces, self.max_words = max_pieces, max_words
-        self.first: dict[str, int] = {}  # pieces at the start of a text
-        self.later: dict[str, int] = self.first if self.drops_space else {}  # pieces after a space
-        self.pieces = Ragged(np.int32)  # words of each piece
-        self.word: dict[str, int] = {"\0": 0}
-        self.ids = Ragged(np.uint32)  # ids of each word; the first is none
+        self.max_bytes, self.held = max_bytes, 0
+        self.young: dict[str, int] = {"\0": 0}
+        self.old: dict[str, int] = {}
+        self.odd: dict[str, int] = {}  # pieces that are encoded as they are
+        self.ids = Ragged(np.uint32)  # ids of each word and odd piece; the first is none
         self.ids.append(np.zeros(0), np.zeros(1))
-        self.end: dict[int, int] = {}
 
     def _library(self, texts: list[str], words: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        tokenizer = self.merger if words else self.tokenizer
-        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        tokenizer, flat, counts = (self.merger if words else self.tokenizer), [], []
+        for at in range(0, len(texts), 1024):  # what the library gives back is large
+            found = [e.ids for e in tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            counts += map(len, found)
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.array(counts, np.int64)
 
     def encode(self, texts: list[str] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of ids; ``end_id`` follows each text.  Nulls are empty."""
@@ -133,8 +139,8 @@ class WordEncoder:
             if collecting:
                 gc.enable()
 
-    def _words(self, pieces: list[str], space: str, keep: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The words of pieces, and their numbers."""
+    def _pieces(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """The words of pieces as rows of ``ids``, and their numbers."""
         joined = f"\0{space}".join(pieces)
         odd = {}
         if not joined.isascii() and _UNSETTLED.search(joined.replace("\0", " ")) or "<|" in joined or joined.count("\0") >= len(pieces):
@@ -142,23 +148,14 @@ class WordEncoder:
             joined = f"\0{space}".join("" if k in odd else p for k, p in enumerate(pieces))
         joined = f"{space}{joined}\0"
         found = self.pattern.findall(joined.lower() if self.drops_space else joined)
-        index = np.fromiter(map(self.word.get, found, repeat(-1)), np.int32, len(found))
-        unknown = np.flatnonzero(index < 0)
-        if len(unknown):
-            new = list(dict.fromkeys(found[k] for k in unknown.tolist()))
-            first = self.ids.append(*self._library(new, words=True))
-            if keep:
-                self.word.update(zip(new, range(first, first + len(new)), strict=True))
-                index[unknown] = np.fromiter((self.word[found[k]] for k in unknown.tolist()), np.int32, len(unknown))
-            else:
-                own = dict(zip(new, range(first, first + len(new)), strict=True))
-                index[unknown] = np.fromiter((own[found[k]] for k in unknown.tolist()), np.int32, len(unknown))
+        index = np.fromiter(map(self.young.get, found, repeat(-1)), np.int64, len(found))
+        index[index < 0] = self._rows([found[k] for k in np.flatnonzero(index < 0).tolist()])
         ends = np.flatnonzero(index == 0)
         counts = np.diff(ends, prepend=-1) - 1
         index = np.delete(index, ends)
         if odd:
             at = np.array(list(odd))
-            own = self.ids.append(*self._library(list(odd.values()))) + np.arange(len(at))
+            own = self._rows(list(odd.values()), words=False)
             # the odd pieces' places hold what an empty piece has: a space's word, or nothing
             edges = np.concatenate([[0], np.cumsum(counts)])
             index = np.delete(index, np.concatenate([np.arange(edges[k], edges[k + 1]) for k in at.tolist()]))
@@ -167,27 +164,36 @@ class WordEncoder:
             counts[at] = 1
         return index, counts
 
-    def _entries(self, pieces: pa.Array, space: str, table: dict[str, int], grow: bool, keep: bool) -> np.ndarray:
-        """The entry of each piece."""
-        coded = pieces.dictionary_encode()
+    def _rows(self, names: list[str], words: bool = True) -> np.ndarray:
+        """The rows of words that the young table has not, or of pieces to be encoded as they are."""
+        coded = pa.array(names, pa.string()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        entry = np.fromiter(map(table.get, distinct, repeat(-1)), np.int64, len(distinct))
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            new = [distinct[k] for k in missing.tolist()]
-            first = self.pieces.append(*self._words(new, space, keep))
-            entry[missing] = np.arange(first, first + len(new))
-            if grow:
-                table.update(zip(new, range(first, first + len(new)), strict=True))
-        return entry[coded.indices.to_numpy()]
+        # what is too long to be kept has a row until the table turns
+        rows = np.fromiter(map((self.old if words else self.odd).get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(rows < 0)
+        first = self.ids.append(*self._library([distinct[k] for k in new.tolist()], words))
+        rows[new] = np.arange(first, first + len(new))
+        if words or len(new):
+            self._keep(distinct, rows, self.young if words else self.odd)
+        return rows[coded.indices.to_numpy()]
+
+    def _keep(self, names: list[str], rows: np.ndarray, table: dict[str, int]) -> None:
+        if 2 * self.held < self.max_bytes:
+            table.update((w, r) for w, r in zip(names, rows.tolist(), strict=True) if len(w) <= MAX_KEY)
+        edges = np.frombuffer(self.ids.edges, np.int64)
+        joined = "".join(names)
+        self.held += len(names) * _ENTRY + len(joined) * (1 if joined.isascii() else 4) + 4 * int((edges[rows + 1] - edges[rows]).sum())
+
+    def _turn(self) -> None:
+        """The young table becomes the old one, and only its ids are kept."""
+        rows = np.fromiter(self.young.values(), np.int64, len(self.young))
+        flat, lengths = self.ids.take(rows)
+        self.ids = Ragged(np.uint32)
+        self.ids.append(flat, lengths)
+        self.old = dict(zip(self.young, range(len(rows)), strict=True))
+        self.young, self.odd, self.held = {"\0": 0}, {}, 0
 
     def _encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        if end_id is not None and end_id not in self.end:
-            word = self.ids.append(np.array([end_id]), np.ones(1))
-            self.end[end_id] = self.pieces.append(np.array([word]), np.ones(1))
-        grow = len(self.pieces) < self.max_pieces
-        keep = len(self.word) < self.max_words
-        mark = len(self.pieces), len(self.ids)
         whole = np.zeros(0, np.int64)
         if self.drops_space:
             lists = pc.ascii_split_whitespace(texts)
@@ -197,24 +203,38 @@ class WordEncoder:
             lists = pc.split_pattern(pc.if_else(double, "", texts) if len(whole) else texts, " ")
         counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
         pieces = lists.flatten()
-        at = self._entries(pieces, "" if self.drops_space else " ", self.later, grow, keep)
+        coded = pieces.dictionary_encode()
+        at = coded.indices.to_numpy()
+        rows, n_words = [], []
+        for k in range(0, len(coded.dictionary), 1 << 14):
+            index, n = self._pieces(coded.dictionary[k : k + (1 << 14)].to_pylist(), "" if self.drops_space else " ")
+            rows.append(index)
+            n_words.append(n)
         if not self.drops_space and len(texts):
             heads = np.cumsum(counts) - counts
-            at[heads] = self._entries(pieces.take(pa.array(heads)), "", self.first, grow, keep)
-        if grow:
-            mark = len(self.pieces), len(self.ids)
-        elif keep:
-            mark = mark[0], len(self.ids)
+            at = at.astype(np.int64)
+            at[heads] = len(coded.dictionary) + np.arange(len(heads))
+            index, n = self._pieces(pieces.take(pa.array(heads)).to_pylist(), "")
+            rows.append(index)
+            n_words.append(n)
+        kept = len(self.ids)  # what follows is forgotten with this batch
         if len(whole):  # their single piece is empty, and has no ids
-            word = self.ids.append(*self._library(texts.take(pa.array(whole)).to_pylist()))
-            first = self.pieces.append(word + np.arange(len(whole)), np.ones(len(whole)))
-            at[np.cumsum(counts)[whole] - 1] = first + np.arange(len(whole))
+            index = self.ids.append(*self._library(texts.take(pa.array(whole)).to_pylist())) + np.arange(len(whole))
+            at[(np.cumsum(counts) - 1)[whole]] = sum(map(len, n_words)) + np.arange(len(whole))
+            rows.append(index)
+            n_words.append(np.ones(len(whole), np.int64))
         if end_id is not None:
-            at = np.insert(at, np.cumsum(counts), self.end[end_id])
+            at = np.insert(at, np.cumsum(counts), sum(map(len, n_words)))
             counts = counts + 1
-        words, n_words = self.pieces.take(at)
-        ids, n_ids = self.ids.take(words)
-        lengths = sums(sums(n_ids, n_words), counts)
-        self.pieces.cut(mark[0])
-        self.ids.cut(mark[1])
-        return ids, lengths
+            rows.append(np.array([self.ids.append(np.array([end_id]), np.ones(1))]))
+            n_words.append(np.ones(1, np.int64))
+        made = Ragged(np.uint32)  # ids of this batch's pieces
+        if rows:
+            rows, n_words = np.concatenate(rows), np.concatenate(n_words)
+            flat, n = self.ids.take(rows)
+            made.append(flat, sums(n, n_words))
+        ids, n_ids = made.take(at)
+        self.ids.cut(kept)
+        if 2 * self.held > self.max_bytes:
+            self._turn()
+        return ids, sums(n_ids, counts)
