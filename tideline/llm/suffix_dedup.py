@@ -11,9 +11,9 @@ suffixes that start at anchors are sorted, and only with those of the same ancho
 2. *Spans.* The bytes of every other run go to the task of its anchor, equal spans of a
    task once.  Runs of anchors with over ``hot_group`` runs are cut into shorter ones that
    share more bytes, and go to the tasks of those.
-3. *Sorting.* What follows the anchors is sorted by multikey quicksort to a shallow depth,
-   eight bytes a round over all groups at once; groups that are still equal are ordered by
-   blind tries.  What goes before the anchors is sorted likewise, read backwards.  With
+3. *Sorting.* What follows the anchors is sorted by multikey quicksort to a shallow depth:
+   parts that are still equal are split three ways around a pivot's next seven bytes, all
+   parts at once; those that are equal down to there are ordered by blind tries.  What goes before the anchors is sorted likewise, read backwards.  With
    both orders' common prefix lengths, windows at one distance from their anchors are equal
    if they are in one class of both orders.
 4. *Removal.* A run's repeated windows overlap, so that they are one range; ranges are
@@ -35,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, given_back, written
 
 KMER = 32
-PIECE = 1 << 22  # windows of a document that are looked at together; bytes of a batch
+PIECE = 1 << 19  # windows that are looked at together: about 60 bytes of memory each
 _POSITION = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(200).integers(1, 2**63, 256, np.uint64)
 _STEP = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(5)]
@@ -86,11 +86,11 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     for t, text in enumerate(texts):
         for a in range(0, len(text) - length + 1, PIECE):
             b = min(len(text), a + PIECE + length - 1)
-            held.append((t, a, b))
-            size += b - a
-            if size >= PIECE:
+            if held and size + b - a > PIECE:
                 look()
                 held, size = [], 0
+            held.append((t, a, b))
+            size += b - a
     if held:
         look()
     if not found:
@@ -169,52 +169,75 @@ class BlindTrie:
         return order, shared
 
 
-SHALLOW = 24
+SHALLOW = 28  # bytes, seven at a time
 
 
 def deep_shallow(strings: list[bytes], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (group, string), and the common prefix of each with the one before; -1 at a group's first."""
     n = len(strings)
-    lengths = np.fromiter(map(len, strings), np.int64, n)
-    order = np.argsort(groups, kind="stable")
-    part = np.concatenate([[0], np.cumsum(groups[order][1:] != groups[order][:-1])]) if n else np.zeros(0, np.int64)
     lcp = np.full(n, -1, np.int64)
+    order = np.argsort(groups, kind="stable")
+    if not n:
+        return order, lcp
+    lengths = np.fromiter(map(len, strings), np.int64, n)
     flat = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
     starts = np.cumsum(lengths) - lengths
-    # multikey quicksort by words of seven bytes and the number of bytes that are there
-    for depth in range(0, SHALLOW, 7):
-        left = np.clip(lengths[order] - depth, 0, 7)
-        at = starts[order] + np.minimum(depth, lengths[order])
-        word = np.zeros(n, np.uint64)
+
+    def words(rows: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+        """The next seven bytes, and how many of them are there."""
+        left = np.clip(lengths[rows] - depth, 0, 7)
+        at = starts[rows] + np.minimum(depth, lengths[rows])
+        word = np.zeros(len(rows), np.uint64)
         for k in range(7):
-            byte = np.where(k < left, flat[np.minimum(at + k, len(flat) - 1)], 0)
-            word = word << np.uint64(8) | byte.astype(np.uint64)
-        word = word << np.uint64(8) | left.astype(np.uint64)
-        by = np.lexsort((word, part))
-        order, word, left, before = order[by], word[by], left[by], part[by]
-        same_part = np.concatenate([[False], before[1:] == before[:-1]])
-        split = same_part & np.concatenate([[False], word[1:] != word[:-1]])
-        at = np.flatnonzero(split)
-        if len(at):  # equal bytes in front, at most what both have
-            x = (word[at] ^ word[at - 1]) >> np.uint64(8)
-            zeros = np.full(len(at), 7, np.int64)
-            some = x > 0
-            zeros[some] = (55 - np.floor(np.log2(x[some].astype(np.float64)) + 1e-12).astype(np.int64)) // 8
-            top = x[some] >> (np.uint64(8) * (np.uint64(6) - zeros[some].astype(np.uint64)))
-            zeros[some] += np.where(top == 0, 1, np.where(top > 255, -1, 0))
-            lcp[at] = depth + np.minimum(zeros, np.minimum(left[at], left[at - 1]))
-        part = np.cumsum(~same_part | split) - 1
-    # blind tries for what is still equal
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(edges, n))
-    depth = (SHALLOW + 6) // 7 * 7
-    for a, size in zip(edges[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-        members = order[a : a + size].tolist()
+            word = word << np.uint64(8) | np.where(k < left, flat[np.minimum(at + k, len(flat) - 1)], 0).astype(np.uint64)
+        return word << np.uint64(8) | left.astype(np.uint64)
+
+    first = np.concatenate([[True], groups[order][1:] != groups[order][:-1]])
+    # multikey quicksort: parts that are still equal are split three ways around a pivot's next bytes
+    begin = np.flatnonzero(first)
+    size, depth = np.diff(np.append(begin, n)), np.zeros(len(begin), np.int64)
+    equal: list[tuple[int, int]] = []
+    while len(some := np.flatnonzero(size > 1)):
+        begin, size, depth = begin[some], size[some], depth[some]
+        deep = depth >= SHALLOW
+        equal += zip(begin[deep].tolist(), size[deep].tolist(), strict=True)
+        begin, size, depth = begin[~deep], size[~deep], depth[~deep]
+        if not len(begin):
+            break
+        part = np.repeat(np.arange(len(begin)), size)
+        heads = np.cumsum(size) - size
+        places = begin[part] + np.arange(len(part)) - heads[part]
+        rows = order[places]
+        word = words(rows, depth[part])
+        pivot = np.sort(np.stack([word[heads], word[heads + size // 2], word[heads + size - 1]]), axis=0)[1]
+        side = 3 * part + 1 + (word > pivot[part]) - (word < pivot[part])
+        order[places] = rows[np.argsort(side, kind="stable")]
+        size = np.bincount(side, minlength=3 * len(begin))
+        begin = np.repeat(begin, 3) + (np.cumsum(size.reshape(-1, 3), axis=1) - size.reshape(-1, 3)).ravel()
+        depth = np.repeat(depth, 3)
+        depth[1::3] += 7
+    # blind tries for what is equal to a shallow depth
+    done = first.copy()
+    for a, m in equal:
+        members = order[a : a + m].tolist()
         own = [strings[k] for k in members]
-        known = min(depth, *map(len, own))
-        sub, shared = BlindTrie(own, known).ordered()
-        order[a : a + size] = [members[k] for k in sub]
-        lcp[a + 1 : a + size] = shared[1:]
+        sub, shared = BlindTrie(own, min(SHALLOW, *map(len, own))).ordered()
+        order[a : a + m] = [members[k] for k in sub]
+        lcp[a + 1 : a + m] = shared[1:]
+        done[a + 1 : a + m] = True
+    # the other neighbours differ above that depth
+    left = np.flatnonzero(~done)
+    for d in range(0, SHALLOW, 7):
+        x, y = words(order[left], d), words(order[left - 1], d)
+        differ = x != y
+        at, x, y = left[differ], x[differ], y[differ]
+        apart = (x ^ y) >> np.uint64(8)
+        same = np.zeros(len(at), np.int64)
+        for k in range(7):
+            same += (apart >> np.uint64(8 * (6 - k))) == 0
+        counted = np.minimum(x & np.uint64(255), y & np.uint64(255)).astype(np.int64)
+        lcp[at] = d + np.minimum(same, counted)
+        left = left[~differ]
     return order, lcp
 
 
@@ -259,7 +282,7 @@ _SPANS = pa.schema([("ref", pa.int64()), ("group", pa.int64()), ("nearest", pa.i
 _FOUND = pa.schema([("ref", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches in parts of about ``size`` bytes of a binary column."""
     for batch in batches:
         lengths = np.diff(np.array([0, *np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])]))
@@ -281,7 +304,7 @@ def _list_runs(length: int):
     return run
 
 
-def _list_spans(length: int, hot_step: int, hold: int = 24 << 20):
+def _list_spans(length: int, hot_step: int, hold: int = 32 << 20):
     """Rows (key, text, runs, hot): spans, each distinct one of a part of the task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,20 +340,20 @@ def _list_spans(length: int, hot_step: int, hold: int = 24 << 20):
                         if (row := seen.get(name)) is None:
                             seen[name] = [ref, group, mid - y, mid - x, span, False, [key], [mid]]
                             ref += 1
-                            size += len(span) + 400
+                            size += len(span) + 900  # as Python holds it
                         else:
                             row[5] = True
                             row[6].append(key)
                             row[7].append(mid)
-                            size += 64
-                if size > hold:
-                    yield from out()
+                            size += 80
+                    if size > hold:
+                        yield from out()
         yield from out()
 
     return run
 
 
-def _find(length: int, hold: int = 48 << 20):
+def _find(length: int, hold: int = 32 << 20):
     """Rows (ref, group, nearest, farthest, span, several), those of a group together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +392,7 @@ def _find(length: int, hold: int = 48 << 20):
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) + 200
+                size += len(row[4]) + 400
         if held:
             yield solve(held)
 
@@ -418,7 +441,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, hot_group: int = 100_0
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     rows = written(rows, "suffix-rows", "zstd")
     texts = rows.select("key", "text").where(F.length("text") >= length)
-    listed = written(texts.mapInArrow(_list_runs(length), "hash long, key long, number int"), "suffix-runs")
+    listed = written(texts.mapInArrow(lambda b: given_back(_list_runs(length)(b)), "hash long, key long, number int"), "suffix-runs")
     # written, so that the join below deals both sides anew and Spark can split a hot hash
     twice = listed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > hot_group).alias("hot"))
     twice = written(twice, "suffix-twice")
@@ -427,12 +450,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, hot_group: int = 100_0
     drop_written(spark, listed, twice)
     del listed, twice
     joined = texts.join(wanted.hint("shuffle_hash"), "key").select("key", "text", "numbers", "hot")
-    spans = written(joined.mapInArrow(_list_spans(length, hot_step), "ref long, group long, nearest int, farthest int, span binary, several boolean, keys array<long>, anchors array<long>"), "suffix-spans", "zstd")
+    spans = written(joined.mapInArrow(lambda b: given_back(_list_spans(length, hot_step)(b)), "ref long, group long, nearest int, farthest int, span binary, several boolean, keys array<long>, anchors array<long>"), "suffix-spans", "zstd")
     del joined
     drop_written(spark, wanted)
     del wanted
     dealt = spans.select("ref", "group", "nearest", "farthest", "span", "several").repartition("group").sortWithinPartitions("group")
-    found = dealt.mapInArrow(_find(length), "ref long, low int, high int")
+    found = dealt.mapInArrow(lambda b: given_back(_find(length)(b)), "ref long, low int, high int")
     ranges = spans.select("ref", "keys", "anchors").join(found, "ref")
     ranges = ranges.select(F.explode(F.arrays_zip("keys", "anchors")).alias("at"), "low", "high")
     ranges = ranges.select(F.col("at.keys").alias("key"), F.struct((F.col("at.anchors") - F.col("high")).alias("a"), (F.col("at.anchors") - F.col("low") + length).alias("b")).alias("r"))
@@ -441,5 +464,5 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, hot_group: int = 100_0
     drop_written(spark, spans)
     del spans
     out = rows.join(by_doc.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "a", "b")
-    out = out.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = out.mapInArrow(lambda b: given_back(_remove(with_text)(b)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
