@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -216,17 +217,85 @@ def test_passages(spark, empty, awkward):
     one = next(r for r in found if r.doc_id == 1)
     assert (one.start, one.end) == (40, 92) or one.similarity < 1
     assert chain_dedup.fuzzy_passages(empty).count() == 0
-    again = chain_dedup.fuzzy_passages(awkward).select("doc_id", "other_id").collect()
-    assert {(1, 2), (2, 1)} & {tuple(r) for r in again}
+    again = chain_dedup.fuzzy_passages(awkward)
+    assert again.columns == ["doc_id", "other_id", "start", "end", "other_start", "other_end", "similarity"]
+    pairs = {(r.doc_id, r.other_id) for r in again.collect()}
+    assert {a for a, b in pairs if a != b} == {1, 2, 3} and {a for a, _ in pairs} == {1, 2, 3, 8}  # copies meet their representative
+    assert (8, 8) in pairs  # a text that repeats itself
+
+
+def chain_score(chain, k, gap_cost):
+    score = float(k)
+    for (x, y), (v, w) in itertools.pairwise(chain):
+        step = min(v - x, w - y, k)
+        score += step - gap_cost * ((v - x) + (w - y) - 2 * step)
+    return score
 
 
 def test_chains_against_brute_force():
+    """The first chain is the best of all chains; matches lie at least k words apart, or not."""
     rng = random.Random(9)
-    for _ in range(60):
-        n, k, gap = rng.randint(1, 7), 3, 0.25
-        x, y = [rng.randint(0, 20) for _ in range(n)], [rng.randint(0, 20) for _ in range(n)]
-        tops = chain_dedup.chains(x, y, k, gap, 0.0)
-        assert all(a < b and c < d for a, b, c, d in tops) and 1 <= len(tops) <= n
+    for case in range(300):
+        n, k, gap = rng.randint(1, 8), 3, rng.choice((0.05, 0.25))
+        spread = 3 if case % 2 else 1
+        places = sorted({(spread * rng.randint(0, 9), spread * rng.randint(0, 9)) for _ in range(n)})
+        every = [c for m in range(1, len(places) + 1) for c in itertools.combinations(places, m) if all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(c))]
+        best = max(chain_score(c, k, gap) for c in every)
+        tops = chain_dedup.chains([p[0] for p in places], [p[1] for p in places], k, gap, 0.0)
+        ends = {(c[0][0], c[-1][0] + k, c[0][1], c[-1][1] + k): chain_score(c, k, gap) for c in sorted(every, key=lambda c: chain_score(c, k, gap))}
+        assert tops and all(t in ends for t in tops)
+        if spread == 3:
+            assert ends[tops[0]] == pytest.approx(best)
+
+
+def passages_by_force(a, b, words=50, share=0.8):
+    """Whether some two stretches of so many words agree in that share of places."""
+    for shift in range(words - len(b), len(a) - words + 1):
+        i, j = max(shift, 0), max(-shift, 0)
+        n = min(len(a) - i, len(b) - j)
+        total = np.concatenate([[0], np.cumsum(a[i : i + n] == b[j : j + n])])
+        if (total[words:] - total[:-words] >= share * words).any():
+            return True
+    return False
+
+
+def noisy_corpus(seed):
+    """Fuzzy passages, families of near copies, passages that others cover with shorter pieces, frequent lines."""
+    rng = np.random.default_rng(seed)
+    new = lambda n: rng.integers(100, 10**6, n)
+    line, docs = new(12), []
+    for _ in range(40):  # a passage and its fuzzy copy
+        passage = new(rng.integers(50, 120))
+        copy = np.where(rng.random(len(passage)) < rng.uniform(0, 0.15), new(len(passage)), passage)
+        docs += [np.concatenate([new(rng.integers(0, 60)), p, new(rng.integers(0, 60))]) for p in (passage, copy)]
+    for _ in range(3):  # a passage that others cover
+        passage = new(200)
+        pieces = [passage[at : at + 28] for at in range(0, 190, 17)]
+        docs += [np.concatenate([p, new(50)]) for p in pieces] + [np.concatenate([new(30), passage]), np.concatenate([passage, new(20)])] + [np.concatenate([new(40), p]) for p in pieces]
+    family = new(80)
+    docs += [np.where(rng.random(80) < 0.06, new(80), family) for _ in range(30)]
+    docs += [np.concatenate([new(30), line, new(30), line, new(5)]) for _ in range(30)]
+    order = rng.permutation(len(docs))
+    return [docs[k] for k in order]
+
+
+@pytest.mark.parametrize("all_pairs", [8, None])
+def test_passages_against_brute_force(spark, all_pairs):
+    docs = noisy_corpus(3)
+    rows = [(k, " ".join(map(str, d))) for k, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {(r.doc_id, r.other_id) for r in chain_dedup.fuzzy_passages(df, all_pairs=all_pairs, chunk_bytes=20_000).collect()}
+    assert all((b, a) in found for a, b in found)
+    wanted = {(a, b) for a in range(len(docs)) for b in range(len(docs)) if a != b and passages_by_force(docs[a], docs[b])}
+    alone = set(range(len(docs))) - {a for a, _ in wanted}
+    partners = {a: {b for c, b in found if c == a} for a, _ in found}
+    linked = {(a, b) for a, b in wanted if (a, b) in found or (all_pairs and partners.get(a, set()) & partners.get(b, set()))}
+    assert len(linked) >= 0.95 * len(wanted), (len(linked), len(wanted))
+    large = {k for k, d in enumerate(docs) if sum(a == k for a, _ in wanted) > 20}  # the family of near copies
+    small = {(a, b) for a, b in wanted if not large & {a, b}}
+    assert len(small & found) >= 0.95 * len(small), (len(small & found), len(small))
+    assert {a for a, _ in wanted} == {a for a, _ in found} - alone  # every document of a passage
+    assert len({a for a, _ in found} & alone) <= 0.05 * len(alone)  # gaps and rounding make some more
 
 
 def test_common_words():
