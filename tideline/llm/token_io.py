@@ -3,10 +3,8 @@
 Documents are put in ascending doc_id order by a range partitioning; each task cuts its
 run into shards of about ``shard_ids`` ids.  In a shard, frequent pairs of neighbouring
 symbols within a document are replaced by new symbols again and again: each round counts
-all pairs, takes the most frequent (at least ``min_count`` each) such that no symbol is
-the left of one and the right of another (a pair of one symbol twice has it for itself),
-so that no two replacements overlap, and
-replaces them all at once.
+all pairs exactly and replaces those that are there ``min_count`` times or more; where two
+overlap the more frequent one is replaced.  Rounds go on until no pair is that frequent.
 
 A file (little-endian): magic, version, counts; the rules as two arrays (left, right)
 and their expansion lengths; for each document its id, its number of ids and where its
@@ -40,67 +38,83 @@ MAGIC = b"RPTK"
 #: magic, version, bytes a symbol, first nonterminal, rules, documents, symbols, ids
 _HEAD = struct.Struct("<4sHHIIIQQ")
 _NO_ID = -(2**63)
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def re_pair(ids: np.ndarray, begins: np.ndarray, first_symbol: int, rounds: int, min_count: int, max_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def re_pair(ids: np.ndarray, begins: np.ndarray, first_symbol: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, firsts, lefts, rights): ``begins`` marks each document's first id, ``firsts`` tells its first symbol.
 
-    A round counts pairs in cells of a hash table; of the fullest cells the first pair of
-    each is counted exactly, the others wait for a later round.
+    A round counts the pairs in cells of a hash table, of another hash each round; only
+    those in cells that reach ``min_count`` are counted exactly.
     """
     seq, firsts = ids.astype(np.uint32), np.flatnonzero(begins)
-    lefts, rights = [], []
-    bits = max(10, min(18, int(len(seq)).bit_length()))
-    per_round = -(-max_rules // rounds)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        cell = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)
-        cell[firsts[firsts > 0] - 1] = 0  # cell 0 is never full: pairs over the edge of two documents
-        counts = np.bincount(cell, minlength=1 << bits)
-        counts[0] = 0
-        full = np.flatnonzero(counts >= min_count)
-        if len(full) > 2 * per_round:
-            full = full[np.argpartition(-counts[full], 2 * per_round)[: 2 * per_round]]
-        is_full = np.zeros(1 << bits, bool)
-        is_full[full] = True
-        where = np.flatnonzero(is_full[cell])
-        cells = cell[where].astype(np.int64)
+    lefts, rights, made = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], 0
+    bits = max(10, min(20, len(seq).bit_length()))
+    factor = 0x9E3779B1
+    while len(seq) > 1:
+        factor = (factor * 0x2C1B3C6D + 0x12) & 0xFFFFFFFF | 1
+        cell_of = lambda x, y, f=np.uint32(factor): (x * f + y) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)
+        cell = cell_of(seq[:-1], seq[1:])
+        cell[firsts[firsts > 0] - 1] = 1 << bits  # pairs over the edge of two documents
+        counts = np.bincount(cell, minlength=(1 << bits) + 1)
+        counts[-1] = 0
+        where = np.flatnonzero((counts >= min_count)[cell])
         pair = seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]
-        kept = np.zeros(1 << bits, np.uint64)
-        kept[cells[::-1]] = pair[::-1]
-        same = kept[cells] == pair
-        where, cells = where[same], cells[same]
-        counts = np.bincount(cells, minlength=1 << bits)[full]
-        order = np.lexsort((kept[full], -counts))
-        rule = np.zeros(1 << bits, np.uint32)
-        on_left, on_right, stop = set(), set(), len(lefts) + per_round
-        for c, p, n in zip(full[order].tolist(), kept[full[order]].tolist(), counts[order].tolist(), strict=True):
-            if n < min_count or len(lefts) >= stop:
-                break
-            a, b = p >> 32, p & 0xFFFFFFFF
-            if a in on_right or b in on_left or (a == b and a in on_left):
-                continue
-            on_left.add(a)
-            on_right.add(b)
-            rule[c] = first_symbol + len(lefts)
-            lefts.append(a)
-            rights.append(b)
-        hit = rule[cells]
-        where, hit = where[hit > 0], hit[hit > 0]
-        if not len(where):
+        ordered = np.sort(pair)
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(begin, len(ordered)))
+        frequent = np.flatnonzero(counts >= min_count)
+        if not len(frequent):
             break
-        # only a pair of the same symbol twice can overlap itself: of a run every other place counts
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], where[1:] != where[:-1] + 1]), where, 0))
-        free = (where - start) % 2 == 0
-        where, hit = where[free], hit[free]
-        seq[where] = hit
+        pairs = ordered[begin[frequent]]
+        pairs = pairs[np.lexsort((pairs, -counts[frequent]))]  # the most frequent first
+        x, y = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
+        rule = np.full(1 << bits, -1, np.int32)
+        rule[cell_of(x, y)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]  # of two in one cell the rarer waits for another hash
+        rank = rule[cell[where]]
+        hit = pairs[rank] == pair
+        where, rank = where[hit], rank[hit]
+        taken = _without_overlap(where, rank)
+        uses = np.bincount(rank[taken], minlength=len(pairs))
+        useful = uses >= min(4, (min_count + 1) // 2)
+        taken &= useful[rank]
+        number = np.cumsum(useful) - 1 + first_symbol + made
+        where, rank = where[taken], rank[taken]
+        seq[where] = number[rank]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
         firsts = firsts - np.searchsorted(where + 1, firsts)
-    return seq, firsts, np.array(lefts, np.uint32), np.array(rights, np.uint32)
+        lefts.append(x[useful])
+        rights.append(y[useful])
+        made += int(useful.sum())
+    return seq, firsts, np.concatenate(lefts), np.concatenate(rights)
+
+
+def _without_overlap(where: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the ascending places to replace: of two that overlap the one of lower rank, of a run of one rank every other."""
+    n = len(where)
+    touch = np.concatenate([[False], where[1:] == where[:-1] + 1])  # overlaps the one before
+    run = touch & np.concatenate([[False], rank[1:] == rank[:-1]])
+    place = np.arange(n)
+    offset = place - np.maximum.accumulate(np.where(run, 0, place))
+    order = 2 * rank.astype(np.int64) + offset % 2
+    taken = ~touch & ~np.append(touch[1:], False)
+    open_ = np.flatnonzero(~taken)
+    none = np.int64(2**62)
+    while len(open_):
+        value = np.full(n + 2, none)
+        value[open_ + 1] = order[open_]
+        left = np.where(touch[open_], value[open_], none)
+        right = np.where(np.append(touch, False)[open_ + 1], value[open_ + 2], none)
+        best = open_[(order[open_] < left) & (order[open_] < right)]
+        taken[best] = True
+        out = np.zeros(n + 2, bool)
+        out[best + 1] = True
+        after, before = best[np.append(touch, False)[best + 1]], best[touch[best]]
+        out[after + 2] = True
+        out[before] = True
+        open_ = open_[~out[open_ + 1]]
+    return taken
 
 
 def expansion_lengths(lefts: np.ndarray, rights: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -110,10 +124,10 @@ def expansion_lengths(lefts: np.ndarray, rights: np.ndarray, first_symbol: int)
     return out
 
 
-def encode_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, first_symbol: int, *, rounds: int = 4, min_count: int = 16, max_rules: int = 12_000) -> bytes:
+def encode_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, first_symbol: int, *, min_count: int = 16) -> bytes:
     begins = np.zeros(len(ids), bool)
     begins[np.cumsum(counts) - counts] = True  # every document has its end id at least
-    seq, firsts, lefts, rights = re_pair(ids, begins, first_symbol, rounds, min_count, max_rules)
+    seq, firsts, lefts, rights = re_pair(ids, begins, first_symbol, min_count)
     wide = 2 if first_symbol + len(lefts) <= 1 << 16 else 4
     keys = np.array([_NO_ID if i is None else i for i in doc_ids], "<i8")
     head = _HEAD.pack(MAGIC, 1, wide, first_symbol, len(lefts), len(keys), len(seq), len(ids))
@@ -191,7 +205,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
     fs.move(own, f"{path}/{name}")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | Callable[[], str], *, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 4, min_count: int = 16, max_rules: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | Callable[[], str], *, end_id: int = 0, shard_ids: int = 1 << 20, min_count: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents to ``folder``; a row per file: task, shard, name, n_docs, n_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +217,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | Callable[[]
             nonlocal shard, keys, counts, ids
             name = f"{task:07d}-{shard:05d}.rptk"
             n, flat = np.concatenate(counts), np.concatenate(ids)
-            _put(folder, name, encode_shard(keys, n, flat, first_symbol, rounds=rounds, min_count=min_count, max_rules=max_rules))
+            _put(folder, name, encode_shard(keys, n, flat, first_symbol, min_count=min_count))
             row = pa.RecordBatch.from_pydict({"task": [task], "shard": [shard], "name": [name], "n_docs": [len(keys)], "n_ids": [len(flat)]}, schema=pa.schema([("task", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             shard, keys, counts, ids = shard + 1, [], [], []
             return row
