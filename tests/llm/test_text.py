@@ -6,9 +6,11 @@ import itertools
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from awkward_cases import AWKWARD
 from pyspark.sql import functions as F
@@ -114,12 +116,14 @@ def test_re_pair_round_trip():
     for n, symbols in ((0, 5), (1, 5), (3000, 3), (20_000, 40), (500, 60_000)):
         counts = np.array([1 + int(x) for x in rng.integers(0, 9, n)] or [1])
         ids = rng.integers(0, symbols, int(counts.sum())).astype(np.uint32)
-        data = token_io.encode_shard(list(range(len(counts))), counts, ids, symbols, rounds=5, min_count=3, max_rules=900)
+        data = token_io.encode_shard(list(range(len(counts))), counts, ids, symbols, min_count=3)
         shard = token_io.Shard(data)
         assert (shard.expand(shard.symbols) == ids).all()
         for k in range(0, len(counts), 97):
             own = ids[counts[:k].sum() : counts[: k + 1].sum()]
             assert (shard.document(k) == own).all() and [shard.id_at(k, p) for p in range(len(own))] == own.tolist()
+        pairs = [(a, b) for begin, end in itertools.pairwise([*shard.begins.tolist(), len(shard.symbols)]) for a, b in itertools.pairwise(shard.symbols[begin:end].tolist()) if a != b]
+        assert max(collections.Counter(pairs).values(), default=0) < 3  # no frequent pair is left
     assert len(token_io.Shard(token_io.encode_shard([1], np.array([8000]), np.tile(np.arange(4, dtype=np.uint32), 2000), 4)).symbols) < 1500
     with pytest.raises(ValueError):
         token_io.Shard(b"\0" * 64)
@@ -298,7 +302,7 @@ def test_top_k(spark, bound):
     rows += [(7, None), (8, [1.0, None]), (100, [float("nan")] * 6), (11, [float("inf")]), (None, [1.0] * 6), (13, []), (14, [1.0] * 9), (rows[5][0], rows[5][1])]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, score int").repartition(3)
     got = collections.defaultdict(list)
-    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, query_block_bytes=bound, block=50).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, candidate_block_bytes=bound, score_bytes=bound, block=50).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
         assert r.rank == len(got[r.query_id])
     assert got == brute_top(rows, 10)
@@ -311,6 +315,24 @@ def test_top_k_of_few_and_of_huge(spark):
     assert [(r.vec_id, r.score) for r in rows] == [(1, 2**63 - 1), (2, -(2**63))]
 
 
+def test_top_k_of_many_queries_in_little_memory():
+    """30,000 queries against 20,000 candidates: a task's arrays stay under 300 MB."""
+    rng = np.random.default_rng(12)
+    schema = pa.schema([("cell", pa.int32()), ("asking", pa.int32()), ("vec_id", pa.int64()), ("vector", pa.list_(pa.float32()))])
+
+    def batches():
+        for asking, n in ((0, 20_000), (1, 30_000)):
+            for at in range(0, n, 10_000):
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=10_000 * 8).astype(np.float32)), 8).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(10_000), pa.int32()), pa.array(np.full(10_000, asking), pa.int32()), pa.array(np.arange(at, at + 10_000)), vectors], schema=schema)
+
+    tracemalloc.start()
+    found = sum(b.num_rows for b in topk._search(10, 1024.0, 4096, 16 << 20)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 300_000 and peak < 300 << 20
+
+
 # ---- all of them
 
 

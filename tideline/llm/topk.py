@@ -1,11 +1,12 @@
 """Exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-A block of queries, of a size that is bounded before it is broadcast, meets every
-candidate in one scan.  In a task the candidates come in blocks; each is turned into
-postings by dimension (the candidates with a component other than 0, and its value).
-For each dimension in turn the queries' components are scattered, weighted, into dense
-score arrays (query x candidate).  A partition selection keeps the k best of a block,
-merged with the best so far; the tasks' bests are merged after a shuffle by query.
+The candidates are dealt to blocks of about ``candidate_block_bytes``, evenly, whatever
+their ids; the queries, the far smaller side, go to every block.  A task holds one block
+and streams the queries by.  Its candidates are turned into postings by dimension (those
+with a component other than 0, and its value).  For each dimension in turn the queries'
+components are scattered, weighted, into dense score arrays (query x candidate) of at
+most ``score_bytes``.  A partition selection keeps the k best of each array, merged with
+the best so far; the blocks' bests are merged after a shuffle by query.
 
 Scores are exact: integers, added in 64 bits where the largest possible score fits, and
 as Python integers otherwise; a score beyond 64 bits is returned as the nearest that fits.
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import given_back
+
 LIMIT = 2**63 - 1
 
 
@@ -54,19 +57,22 @@ def _matrix(vectors: pa.Array, scale: float, width: int | None = None) -> np.nda
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """All inner products (queries x candidates), one dimension at a time."""
+    """All inner products (queries x candidates), one dimension at a time; in 32 bits if all fit."""
     width = min(queries.shape[1], candidates.shape[1])
     top = lambda m: int(max(abs(m.max()), abs(m.min()))) if m.size else 0
-    exact = queries.dtype != object and candidates.dtype != object and top(queries) * top(candidates) * max(width, 1) <= LIMIT
-    scores = np.zeros((len(queries), len(candidates)), np.int64 if exact else object)
+    bound = top(queries) * top(candidates) * max(width, 1)
+    exact = queries.dtype != object and candidates.dtype != object and bound <= LIMIT
+    kind = (np.int32 if bound < 2**31 else np.int64) if exact else object
+    scores, part = np.zeros((len(queries), len(candidates)), kind), np.empty((len(queries), len(candidates)), kind)
     for d in range(width):
         asked, posting = np.flatnonzero(queries[:, d]), np.flatnonzero(candidates[:, d])
         if not len(asked) or not len(posting):
             continue
-        weights = queries[asked, d].astype(scores.dtype)
-        values = candidates[posting, d].astype(scores.dtype)
+        weights = queries[asked, d].astype(kind)
+        values = candidates[posting, d].astype(kind)
         if len(asked) == len(queries) and len(posting) == len(candidates):
-            scores += weights[:, None] * values[None, :]
+            np.multiply(weights[:, None], values[None, :], out=part)
+            scores += part
         else:
             scores[np.ix_(asked, posting)] += weights[:, None] * values[None, :]
     return scores if exact else np.clip(scores, -LIMIT - 1, LIMIT).astype(np.int64)
@@ -86,62 +92,87 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], ~scores[chosen]))]
 
 
-def _search(shared, k: int, scale: float, block: int):
+def select_rows(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of each row's k best; ``ids`` ascend; a row's ``own`` id takes no part."""
+    n, m = scores.shape
+    first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+    top = int(max(abs(int(scores.max())), abs(int(scores.min())))) if scores.size else 0
+    if (top + 2) * m > 2**62:  # row by row
+        out = [(np.zeros(0, np.int64),) * 3]
+        for q in range(n):
+            kept = np.delete(np.arange(m), slice(first[q], last[q]))
+            chosen = kept[select(scores[q, kept], ids[kept], k)]
+            out.append((np.full(len(chosen), q), ids[chosen], scores[q, chosen]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    # score and place in one number: ties go to the smaller id
+    key = scores.astype(np.int64)
+    key *= m
+    key += np.arange(m - 1, -1, -1)
+    none = -(2**63)
+    for q in np.flatnonzero(last > first).tolist():
+        key[q, first[q] : last[q]] = none
+    if m > k:
+        key.partition(m - k, axis=1)
+        key = key[:, m - k :]
+    row, at = np.nonzero(key != none)
+    key = key[row, at]
+    return row, ids[m - 1 - key % m], key // m
+
+
+def _search(k: int, scale: float, block: int, score_bytes: int):
+    """Rows (cell, asking, id, vector), a cell's candidates before its queries."""
+
+    def solve(ids: np.ndarray, candidates: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, score_bytes // (8 * block))
+        for q in range(0, len(query_ids), step):
+            found = [select_rows(accumulate(queries[q : q + step], candidates[c : c + block]), ids[c : c + block], query_ids[q : q + step], k) for c in range(0, len(ids), block)]
+            row, vec, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((vec, ~score, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (query_ids[q : q + step][row[order]], vec[order], score[order])], ["query_id", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        n = len(query_ids)
-        best_scores = [np.zeros(0, np.int64)] * n
-        best_ids = [np.zeros(0, np.int64)] * n
+        cell, held, ids, candidates = None, [], None, None
+
+        def close() -> None:
+            """All candidates of the cell are there."""
+            nonlocal held, ids, candidates
+            if held:
+                ids = np.concatenate([h.column(2).to_numpy() for h in held])
+                order = np.argsort(ids, kind="stable")
+                ids, candidates = ids[order], _matrix(pa.concat_arrays([h.column(3) for h in held]), scale)[order]
+                held = []
+
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                scores = accumulate(queries, _matrix(part.column(1), scale))
-                for q in range(n):
-                    s, i = scores[q], ids
-                    own = i == query_ids[q]
-                    if own.any():
-                        s, i = s[~own], i[~own]
-                    if len(best_ids[q]) == k:  # only what is as good as the worst so far
-                        near = s >= best_scores[q][-1]
-                        s, i = s[near], i[near]
-                    if not len(s):
-                        continue
-                    s, i = np.concatenate([best_scores[q], s]), np.concatenate([best_ids[q], i])
-                    chosen = select(s, i, k)
-                    best_scores[q], best_ids[q] = s[chosen], i[chosen]
-        counts = [len(x) for x in best_ids]
-        if sum(counts):
-            columns = [np.repeat(query_ids, counts), np.concatenate(best_ids), np.concatenate(best_scores)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+            cells, asking = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]) | (asking[1:] != asking[:-1])])) if len(cells) else np.zeros(0, np.int64)
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(cells)]):  # noqa: B905
+                part = batch.slice(a, b - a)
+                if cells[a] != cell:
+                    cell, held, ids, candidates = cells[a], [], None, None
+                if not asking[a]:
+                    held.append(part)
+                    continue
+                close()
+                if ids is not None:
+                    yield from solve(ids, candidates, part.column(2).to_numpy(), _matrix(part.column(3), scale))
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding", query_block_bytes: int = 32 << 20, block: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding", candidate_block_bytes: int = 64 << 20, score_bytes: int = 16 << 20, block: int = 4096) -> DataFrame:
     """For each row with ``is_query`` its k best others: query_id, rank (from 1), vec_id, score."""
-    spark = vectors.sparkSession
     id_, vector = F.col(id_col).cast("long"), F.col(vector_col)
     rows = vectors.where(id_.isNotNull() & usable(vector))
     candidates = rows.select(id_.alias("vec_id"), vector.alias("vector"))
     queries = rows.where(is_query).select(id_.alias("vec_id"), vector.alias("vector"))
-    n, width = queries.select(F.count("*"), F.max(F.size("vector"))).first()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # blocks by the hash of the id; their expected size is half of the bound, and each is measured
-    blocks = -(-2 * n * max(width, 1) * 8 // query_block_bytes)
-    number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    sizes = {r[0]: r[1] for r in queries.groupBy(number.alias("b")).count().collect()}
-    parts = []
-    for b, size in sorted(sizes.items()):
-        if size * max(width, 1) * 8 > query_block_bytes and blocks > 1:
-            raise ValueError(f"query block {b} holds {size} vectors: too many rows share an id")
-        held = queries.where(number == b).groupBy("vec_id").agg(F.min("vector").alias("vector")).toArrow()
-        held = held.combine_chunks().sort_by("vec_id").to_batches()[0]
-        shared = spark.sparkContext.broadcast((held.column(0).to_numpy(), _matrix(held.column(1), scale)))
-        parts.append(candidates.mapInArrow(_search(shared, k, scale, block), "query_id long, vec_id long, score long"))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionAll(p)
+    n, size = candidates.select(F.count("*"), F.sum(8 * F.size("vector").cast("long"))).first()
+    # blocks of a bounded size, and enough of them for all cores
+    cells = max(1, -(-(size or 0) // candidate_block_bytes), min(-(-n // block), vectors.sparkSession.sparkContext.defaultParallelism))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)).cast("int")
+    asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    dealt = candidates.select(number.alias("cell"), F.lit(0).alias("asking"), "vec_id", "vector").unionAll(asked.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("asking"), "vec_id", "vector"))
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", "asking")
+    best = dealt.mapInArrow(lambda b: given_back(_search(k, scale, block, score_bytes)(b)), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
