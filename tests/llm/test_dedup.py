@@ -142,6 +142,41 @@ def test_near_dedup(spark, awkward, empty):
     assert simhash.near_dedup(empty).count() == 0 and simhash.near_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot_bucket", [20_000, 30])
+def test_similar_groups_against_brute_force(spark, hot_bucket):
+    """Pairs around a similarity of 0.8, a family of near copies, and texts that a repeated line makes look alike."""
+    rng = random.Random(5)
+    words = lambda n: [str(rng.randint(0, 10**6)) for _ in range(n)]
+
+    def changed(text, n):
+        out = list(text)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = str(rng.randint(0, 10**6))
+        return out
+
+    texts = []
+    for _ in range(220):
+        text = words(rng.randint(60, 300))
+        texts += [text, changed(text, rng.randint(1, max(1, len(text) // 30)))]
+    family = words(150)
+    texts += [changed(family, rng.randint(1, 3)) for _ in range(60)]
+    line = words(25)
+    texts += [words(120) + line * 30 for _ in range(4)] + [[], []]
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, k long").repartition(3)
+    root = {r.key: r.root for r in simhash.similar_groups(df, key_col="k", hot_bucket=hot_bucket).collect()}
+    assert sorted(root) == list(range(len(texts)))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    assert len(links) > 300
+    assert sum(root[a] == root[b] for a, b in links) >= 0.95 * len(links)
+    group = list(range(len(texts)))  # groups by true links alone
+    for a, b in links:
+        group = [group[a] if g == group[b] else g for g in group]
+    assert all(group[k] == group[r] for k, r in root.items())  # nothing else is linked
+    assert [simhash.jaccard(texts[a].encode(), texts[b].encode(), 5) >= 0.8 for a, b in links] == [True] * len(links)
+
+
 # ---- suffixes
 
 

@@ -11,6 +11,7 @@ import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..workers import importable
 
@@ -87,6 +88,19 @@ def given_back(batches):
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def beside_texts(rows: DataFrame, wanted: DataFrame, per_list: int, name: str) -> DataFrame:
+    """(text, doc_id, l) of ``rows`` (d, text, doc_id): each text with what is wanted of it, rows (w, l).
+
+    That comes in lists of about ``per_list``; a text of which very much is wanted is there
+    once a list, and its lists go to different tasks.
+    """
+    hubs = written(wanted.groupBy("w").count().where(F.col("count") > per_list).select("w", F.ceil(F.col("count") / per_list).cast("int").alias("lists")), f"{name}-hubs")
+    listed = wanted.join(hubs, "w", "left").select("w", F.when(F.col("lists").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("l"), F.col("lists"))).cast("int").alias("list"), "l")
+    lists = listed.groupBy("w", "list").agg(F.collect_list("l").alias("l"))
+    texts = rows.join(hubs, rows["d"] == hubs["w"], "left").select("d", "text", "doc_id", F.explode(F.when(F.col("lists").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), "lists"))).alias("list"))
+    return texts.join(lists, (texts["d"] == lists["w"]) & (texts["list"] == lists["list"])).select("text", "doc_id", "l")
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

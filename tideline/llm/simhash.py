@@ -24,7 +24,7 @@ table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_back, new_name, written
+from .common import beside_texts, given_back, new_name, written
 
 FAN = 8
 SEED = 42
@@ -42,16 +42,23 @@ SEED = 42
 _MORE = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
 
 
-def wide_fingerprint(text: bytes, shingle: int, width: int) -> np.ndarray:
-    """``width`` times 64 bits: the first 64 from the shingles' XXH64, the others from values mixed from it."""
+def shingles(text: bytes, shingle: int) -> Iterable[bytes]:
     words = text.lower().split()
-    if not words:
-        return np.zeros(width, np.uint64)
     if len(words) <= shingle:
-        joined = [b" ".join(words)]
-    else:
-        joined = map(b" ".join, zip(*(words[k:] for k in range(shingle))))  # noqa: B905
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64)
+        return [b" ".join(words)] if words else []
+    return map(b" ".join, zip(*(words[k:] for k in range(shingle))))  # noqa: B905
+
+
+def wide_fingerprint(text: bytes, shingle: int, width: int, once: bool = False) -> np.ndarray:
+    """``width`` times 64 bits: the first 64 from the shingles' XXH64, the others from values mixed from it.
+
+    ``once``: a shingle that comes again does not count again.
+    """
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, shingle), repeat(SEED)), np.uint64)
+    if not len(hashes):
+        return np.zeros(width, np.uint64)
+    if once:
+        hashes = np.unique(hashes)
     ones = np.zeros(64 * width, np.int64)
     for at in range(0, len(hashes), 1 << 12):
         part = hashes[at : at + (1 << 12), None]
@@ -77,7 +84,7 @@ def fingerprints(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_
 
     key = F.col(key_col) if key_col else F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+    return rows.mapInArrow(lambda b: given_back(run(b)), "doc_id long, key long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -116,8 +123,11 @@ class GrayIndex:
     def _apart(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return np.bitwise_count((a ^ b) & mask).sum(1, dtype=np.int32)
 
-    def links(self, most: int, chunk: int | None = None) -> np.ndarray:
-        """A label for each code: equal for codes of a bucket that are linked directly or by others."""
+    def links(self, most: int, chunk: int | None = None, sift: Callable | None = None) -> np.ndarray:
+        """A label for each code: equal for codes of a bucket that are linked directly or by others.
+
+        ``sift`` picks of the pairs found those that link.
+        """
         n = len(self.codes)
         chunk = chunk or (1 << 17) // self.codes.shape[1]  # ways down at once; memory grows with the width
         labels = np.arange(n)
@@ -138,9 +148,28 @@ class GrayIndex:
                     continue
                 at, step = at + step, min(2 * step, 1 << 14)
                 if len(pairs[0]):
-                    labels = _join(labels, *pairs)
+                    labels = _join(labels, *(sift(*pairs) if sift else pairs))
         return labels
 
+    def near_pairs(self, most: int, sure: int, nearest: int, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of codes of a bucket with at most ``most`` differing bits: of each code the ``nearest`` after it.
+
+        Codes that ``sure`` or fewer bits link, directly or by others, are told apart no further.
+        """
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sift(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            apart = np.bitwise_count(self.codes[q] ^ self.codes[node]).sum(1, dtype=np.int64)
+            order = np.lexsort((node, apart, q))
+            q, node, apart = q[order], node[order], apart[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < nearest
+            found.append((q[keep], node[keep]))
+            keep &= apart <= sure
+            return q[keep], node[keep]
+
+        self.links(most, chunk, sift)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
     def _uniform(self, labels: np.ndarray) -> list[np.ndarray]:
         """Of each node of each level the label all its members share, or -1."""
         low, high, out = labels, labels, [labels]
@@ -195,12 +224,17 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = further
 
 
-def _forest(most: int, hold: int):
-    """Rows (bucket, node, code), those of a bucket together: (a, b), b the smallest node linked to a."""
+def _forest(most: int, hold: int, sure: int | None = None, nearest: int = 16):
+    """Rows (bucket, node, code), those of a bucket together: (a, b), b the smallest node linked to a; or near pairs, if ``sure`` is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(buckets: np.ndarray, nodes: np.ndarray, codes: np.ndarray):
             index = GrayIndex(codes, buckets)
+            if sure is not None:
+                a, b = (nodes[index.order][x] for x in index.near_pairs(most, sure, nearest))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
+                return
             labels = index.links(most)
             order = np.argsort(labels, kind="stable")
             a, which = nodes[index.order][order], labels[order]
@@ -254,7 +288,7 @@ def local_links(fps: DataFrame, most: int, hot_bucket: int, hold: int = 400_000)
     dealt = marked.select("fp", F.explode(F.when(F.col("hot"), split).otherwise(F.array("bucket"))).alias("bucket"))
     # a collision of bucket numbers only adds comparisons, which are of whole codes
     code = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
-    return dealt.select("bucket", "fp", code.alias("code")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest(most, hold), "a long, b long")
+    return dealt.select("bucket", "fp", code.alias("code")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: given_back(_forest(most, hold)(b)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,61 +323,139 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, most: int = 3, hot_bucket:
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "key", "root")
 
 
-# ---- near copies by an estimated similarity
+# ---- near copies by similarity
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """The expected differing bits of two sets of shingles with a Jaccard similarity.
+def share_apart(similarity: float) -> float:
+    """The share of bits that two sets of shingles with a Jaccard similarity are expected to differ in.
 
     Two SimHash bits differ with probability angle / pi, and equal-sized sets with
     similarity s are at an angle whose cosine is 2 s / (1 + s).
     """
-    return round(bits * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def table_plan(codes: int, similarity: float, recall: float, bucket: int = 16) -> tuple[int, int]:
+    """(tables, bits of a key): keys leave ``bucket`` of so many codes together, and a pair of that similarity shares one of the keys with probability ``recall``."""
+    bits = max(8, math.ceil(math.log2(max(codes, 2) / bucket)))
+    together = (1 - share_apart(similarity)) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - together)), bits
 
 
 def bucket_bits(bits: int, tables: int, key_bits: int) -> np.ndarray:
     """For each table the places of its key's bits: disjoint blocks first, then more of another order."""
     rng, out = np.random.default_rng(64), np.arange(bits)
-    rows = [out[k * key_bits : (k + 1) * key_bits] for k in range(bits // key_bits)]
+    rows: list[np.ndarray] = []
     while len(rows) < tables:
-        out = rng.permutation(bits)
         rows += [out[k * key_bits : (k + 1) * key_bits] for k in range(bits // key_bits)]
+        out = rng.permutation(bits)
     return np.array(rows[:tables])
 
 
-def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, width: int = 4, tables: int = 32, key_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", key_col: str) -> DataFrame:
+def _deal(places: np.ndarray):
+    """Rows (node, code): each in the bucket of each table; rows (bucket, node, code): each in parts of its bucket, by further tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, key_bits = places.shape
+        weights = np.uint64(1) << np.arange(key_bits, dtype=np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+                keys = (bits[:, places] * weights).sum(2) + (np.arange(tables, dtype=np.uint64) << np.uint64(key_bits))
+                if "bucket" in part.schema.names:
+                    before = part.column("bucket").to_numpy().view(np.uint64)
+                    keys = (keys + before[:, None] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column("node").take(rows), part.column("code").take(rows)], ["bucket", "node", "code"])
+
+    return run
+
+
+def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float, hot_bucket: int, hold: int = 100_000) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes (node, code) that may have that similarity.
+
+    Codes that differ in up to two standard deviations more bits than expected are
+    candidates if they share a key in one of the tables.  The keys' width grows with the
+    number of codes; buckets of more than ``hot_bucket`` are split by the keys of further
+    tables, made for as many codes as there are.
+    """
+    bits, p = 64 * width, share_apart(similarity)
+    most, sure = round(bits * p + 2 * math.sqrt(bits * p * (1 - p))), round(bits * share_apart((1 + similarity) / 2))
+    n = nodes.count()
+    schema = "bucket long, node long, code binary"
+    dealt = nodes.select("node", "code").mapInArrow(_deal(bucket_bits(bits, *table_plan(n, similarity, recall))), schema)
+    if n > hot_bucket:
+        dealt = written(dealt, "near-dealt")
+        hot = written(dealt.groupBy("bucket").count().where(F.col("count") > hot_bucket), "near-hot")
+        largest = hot.agg(F.max("count")).first()[0]
+        if largest:
+            marked = dealt.join(hot.select("bucket", F.lit(True).alias("hot")), "bucket", "left")
+            # within a hot bucket most codes are alike: the further keys are as wide as its size asks for
+            inner = bucket_bits(bits, *table_plan(largest, (1 + similarity) / 2, recall))
+            parts = marked.where("hot").select("bucket", "node", "code").mapInArrow(_deal(np.random.default_rng(65).permutation(bits)[inner]), schema)
+            dealt = marked.where("hot is null").select("bucket", "node", "code").unionAll(parts)
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lambda b: given_back(_forest(most, hold, sure)(b)), "a long, b long").distinct()
+
+
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    x, y = set(shingles(a, shingle)), set(shingles(b, shingle))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _links(shingle: int, similarity: float):
+    """Rows (text, doc_id, l): the pairs (a, b) of the list ``l`` of (a, b, text) whose texts are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, _, others in zip(*batch.columns, strict=True):
+                own = set(shingles((text.as_py() or "").encode(), shingle))
+                rows = []
+                for other in others:
+                    x = set(shingles((other["text"].as_py() or "").encode(), shingle))
+                    same = len(own & x)
+                    if same >= similarity * (len(own) + len(x) - same) - 1e-12:
+                        rows.append((other["a"].as_py(), other["b"].as_py()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, doc_id, l): each pair (a, b) of ``l`` with the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            lists = part.column(2)
+            pairs, of = lists.flatten(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pairs.field("a"), pairs.field("b"), part.column(0).take(pa.array(of))], ["a", "b", "text"])
+
+
+def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, width: int = 4, recall: float = 0.98, hot_bucket: int = 20_000, per_list: int = 200, id_col: str = "doc_id", text_col: str = "text", key_col: str) -> DataFrame:
     """doc_id, key (unique, that of ``key_col``) and root (equal in a group) of every document.
 
-    Fingerprints have ``64 * width`` bits and link if they differ in no more bits than
-    texts of ``similarity`` do on average.  That is too many for one of a few blocks to be
-    the same for sure, so that candidates share the key of one of ``tables`` tables; of
-    pairs with that very similarity 9 in 10 do, of closer ones more.
+    Candidates come from fingerprints of ``64 * width`` bits, in which each shingle counts
+    once (see ``candidates``); documents with one fingerprint are candidates with one of
+    them.  What links is the texts' own similarity: shared shingles by all shingles.
     """
-    most = bits_apart(similarity, 64 * width)
-    places = bucket_bits(64 * width, tables, key_bits)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [wide_fingerprint(t.as_py() or b"", shingle, width).astype(">u8").tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["doc_id", "key", "code"])
+            codes = [wide_fingerprint(t.as_py() or b"", shingle, width, once=True).astype(">u8").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["key", "code"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(key_bits)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
-                keys = (bits[:, places] * weights).sum(2) + (np.arange(tables) << key_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), tables))), part.column(1).take(pa.array(np.repeat(np.arange(part.num_rows), tables)))], ["bucket", "node", "code"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    marked = written(rows.mapInArrow(lambda b: given_back(mark(b)), "doc_id long, key long, code binary"), "wide-codes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key_col).alias("d"), F.col(text_col).alias("text"))
+    marked = written(rows.select("d", F.col("text").cast("binary")).mapInArrow(lambda b: given_back(mark(b)), "key long, code binary"), "wide-codes")
     nodes = written(marked.groupBy("code").agg(F.min("key").alias("node")), "wide-nodes")
-    dealt = nodes.select("node", "code").mapInArrow(deal, "bucket long, node long, code binary").repartition("bucket").sortWithinPartitions("bucket")
-    edges = dealt.mapInArrow(lambda b: given_back(_forest(most, 100_000)(b)), "a long, b long")
-    labels = components(edges).select(F.col("node").alias("n"), "root")
-    rooted = nodes.join(labels, nodes["node"] == F.col("n"), "left").select("code", F.coalesce("root", "node").alias("root"))
-    return marked.join(rooted, "code").select("doc_id", "key", "root")
+    same = marked.join(nodes, "code").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    pairs = written(candidates(nodes, similarity=similarity, width=width, recall=recall, hot_bucket=hot_bucket).unionAll(same), "near-pairs")
+    one = beside_texts(rows, pairs.select(F.col("a").alias("w"), F.struct("a", "b").alias("l")), per_list, "near-one").mapInArrow(lambda b: given_back(_with_text(b)), "a long, b long, text string")
+    both = beside_texts(rows, one.select(F.col("b").alias("w"), F.struct("a", "b", "text").alias("l")), per_list, "near-both")
+    edges = both.mapInArrow(lambda b: given_back(_links(shingle, similarity)(b)), "a long, b long")
+    labels = components(edges)
+    return rows.select("doc_id", F.col("d").alias("key")).join(labels, F.col("key") == labels["node"], "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
