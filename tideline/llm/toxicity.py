@@ -52,7 +52,6 @@ _ALONE = re.compile(rf"[ .\-_*~][\w{_SIGNS}][ .\-_*~]{{1,2}}[\w{_SIGNS}][ .\-_*~
 _SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}][ .\-_*~]{{1,2}}){{3,}}[\w{_SIGNS}](?![\w{_SIGNS}])")
 _DOTTED = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}][.\-_*~]){{3,}}[\w{_SIGNS}](?![\w{_SIGNS}])")
 _SPACE = re.compile(r"\s")
-LONGEST = 64  # a longer run without white space is split for decoding
 
 
 def _classes() -> np.ndarray:
@@ -117,7 +116,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Decoder:
     """Viterbi over character lattices under an interpolated 4-gram model."""
 
-    def __init__(self, counts: np.ndarray, beam: int = 48):
+    def __init__(self, counts: np.ndarray):
         n4 = counts.reshape(32, 32, 32, 32)
         n3 = n4.sum(3, keepdims=True)
         b3 = n4.sum(0)
@@ -125,7 +124,6 @@ class Decoder:
         share = lambda n: n / np.maximum(n.sum(-1, keepdims=True), 1)
         p = 0.75 * n4 / np.maximum(n3, 1) + 0.17 * share(b3)[None] + 0.06 * share(b2)[None, None] + 0.018 * share(b1)[None, None, None] + 0.002 / 32
         self.cost = (-np.log(p)).astype(np.float32).ravel()
-        self.beam = beam
         self.cache: dict[str, str] = {}
 
     def decode(self, seen: str) -> str:
@@ -133,7 +131,9 @@ class Decoder:
         if (found := self.cache.get(seen)) is None:
             if len(self.cache) > 50_000:
                 self.cache.clear()
-            self.cache[seen] = found = " ".join(self._decode(seen[at : at + LONGEST]) for at in range(0, len(seen), LONGEST))
+            found = self.best(seen)[1].strip()
+            if len(seen) <= 256:
+                self.cache[seen] = found
         return found
 
     @staticmethod
@@ -155,12 +155,17 @@ class Decoder:
             out.append(arcs)
         return out
 
-    def _decode(self, seen: str) -> str:
+    def best(self, seen: str) -> tuple[float, str]:
+        """The least cost of a path through the lattice, and what it emits.
+
+        Exact: a state is the last three classes, of which few can be told apart after the
+        same characters, so that all are kept.  Paths share what they have in common.
+        """
         cost = self.cost
-        states: dict[int, tuple[float, str]] = {0: (0.0, "")}  # the last three classes
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for arcs in [*self.lattice(seen.lower()), [(" ", 0.0)]]:
-            following: dict[int, tuple[float, str]] = {}
-            for state, (value, text) in states.items():
+            following: dict[int, tuple[float, tuple | None]] = {}
+            for state, (value, path) in states.items():
                 for emitted, channel in arcs:
                     s, v = state, value + channel
                     for c in emitted:
@@ -168,9 +173,14 @@ class Decoder:
                         v += cost[code]
                         s = code & 0x7FFF
                     if s not in following or following[s][0] > v:
-                        following[s] = (v, text + emitted)
-            states = following if len(following) <= self.beam else dict(sorted(following.items(), key=lambda x: x[1][0])[: self.beam])
-        return min(states.values())[1].strip()
+                        following[s] = (v, (path, emitted))
+            states = following
+        value, path = min(states.values(), key=lambda x: x[0])
+        out = []
+        while path:
+            path, emitted = path
+            out.append(emitted)
+        return float(value), "".join(reversed(out))
 
 
 def restored(text: str, decoder: Decoder | None) -> list[str]:
