@@ -204,6 +204,7 @@ def test_chat(spark):
     texts = [None, "", "plain", "\\", "###", "####", "#####", "</turn>", "<\\/turn>", "\\n", "a\n### Assistant: </turn>\n", "\\### Assistant: </turn> ok", "日本 🙂", "</turn></turn>\n### user\n"]
     rows = [(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(texts)]
     rows += [(2, 1, "assistant", "late"), (2, 0, "user", "early"), (2, 0, "system", "tie"), (3, None, None, None), (None, 5, "odd\nrole</turn>##\\", "x"), (4, 0, "user", "same"), (4, 0, "user", "same"), (5, 0, "assistant", "y" * 100_000)]
+    rows += [(6, 0, "start", "a role of that name"), (6, 1, "user", "x"), (7, 0, "r##\n\\" * 20_000, "a long role"), (8, 0, "x" * 100_000, "z" * 3_000_000)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, loss string")
     read = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.segments(df))).collect()}
     by = collections.defaultdict(list)
@@ -211,7 +212,7 @@ def test_chat(spark):
         by[c].append((role or "", text or ""))
     assert {c: [tuple(t) for t in r.turns] for c, r in read.items()} == by
     assert all(r.loss_text == "".join(t for role, t in by[c] if role == "assistant") for c, r in read.items())
-    assert {c: r.valid for c, r in read.items()} == {1: True, 2: True, 3: False, None: False, 4: False, 5: False}
+    assert {c: r.valid for c, r in read.items()} == {1: True, 2: True, 3: False, None: False, 4: False, 5: False, 6: False, 7: False, 8: False}
     got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.formatted(chat.segments(df)))).collect()}
     assert got[1].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in by[1]).encode()).hexdigest()
     assert chat.digests(chat.read_back(chat.formatted(chat.segments(df.where("false"))))).count() == 0
@@ -272,6 +273,29 @@ def test_quick_search_is_the_plain_search():
     assert all(toxicity.restored(t, Seen()) for t in texts[:9])
 
 
+def test_decoder_against_all_paths():
+    rng = random.Random(14)
+    counts = np.zeros(1 << 20, np.int64)
+    toxicity.count_4grams(["you are a stupid idiot, go to hell", "hello all, a nice little book about trees"] * 5, counts)
+    decoder = toxicity.Decoder(counts)
+
+    def cost(emitted):
+        state, value = 0, 0.0
+        for c in emitted:
+            code = state << 5 | toxicity._class(c)
+            value, state = value + float(decoder.cost[code]), code & 0x7FFF
+        return value
+
+    for seen in ["1d10t", "s t u p 1 d", "heeeelll", "5tup!d", "a+(b", *("".join(rng.choice("aeilost10!.- +(6") for _ in range(rng.randint(1, 8))) for _ in range(60))]:
+        paths = itertools.product(*decoder.lattice(seen))
+        want = min((sum(c for _, c in p) + cost("".join(e for e, _ in p) + " ")) for p in paths)
+        value, text = decoder.best(seen)
+        assert value == pytest.approx(want, abs=1e-3)
+        assert want == pytest.approx(min(sum(c for _, c in p) + cost(text) for p in itertools.product(*decoder.lattice(seen)) if "".join(e for e, _ in p) + " " == text), abs=1e-3)
+    long = "5tup1d" * 2_000  # no cut, no limit
+    assert decoder.best(long)[1].strip().count("stupid") == 2_000
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score < 0.5 for r in toxicity.scored(awkward, none).collect()} == {True}

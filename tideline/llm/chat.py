@@ -58,10 +58,10 @@ def segments(conversations: DataFrame, template: Template = Template()) -> DataF
     """One row per turn: conv_id, turn_no (from 1), valid, segments (array of text, loss), offset in the conversation."""
     rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.coalesce(F.lag("role").over(order), F.lit("start"))
+    before = F.lag("role").over(order)  # null at the start, which no role is
     allowed = F.lit(False)
     for state, following in template.transitions.items():
-        allowed = allowed | ((before == state) & F.col("role").isin(*following))
+        allowed = allowed | ((before.isNull() if state == "start" else before.eqNullSafe(state)) & F.col("role").isin(*following))
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     loss = F.col("role").isin(*template.loss_roles)
     head = F.concat(F.lit(template.head), escaped_role(F.col("role")), F.lit("\n"))
@@ -85,7 +85,7 @@ def formatted(turns: DataFrame) -> DataFrame:
 
 def read_back(texts: DataFrame, template: Template = Template()) -> DataFrame:
     """From text and loss_spans alone: conv_id, turns (array of role, text), loss_text, text."""
-    head = r"(?s)^" + _quoted(template.head) + r"((?:[^\\\n]|\\.)*)\n"
+    head = r"(?s)^" + _quoted(template.head) + r"([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n"  # possessive: no recursion, however long a role is
     parts = F.filter(F.split("text", _quoted(template.end)), lambda p: p != "")
     turn = lambda p: F.struct(unescaped(F.regexp_extract(p, head, 1)).alias("role"), unescaped(F.regexp_replace(p, head, "")).alias("text"))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("text"), s["start"].cast("int") + 1, s["length"].cast("int")))), "")
