@@ -81,6 +81,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float =
         (-F.log(uniform(F.lit(str(seed)), name)) / quality(F.coalesce(F.col(text_col), F.lit("")))).alias("order"),
         tie.alias("tie"),
     )
+    rows = written(rows, "mix-features")  # the texts are read once: a range partitioning reads its input twice
     order = ("source", "order", "doc_id", "tie")
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("row"))
     ordered = written(ordered.drop("tie", "order"), "mix-order")
