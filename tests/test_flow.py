@@ -84,6 +84,40 @@ def test_joins(spark):
     assert [tuple(r) for r in pairs.df.orderBy(*pairs.pos).select("a", "b").collect()] == [(1, 10), (2, 10), (1, 20), (2, 20)]
 
 
+def test_join_forms(spark):
+    """Sizes choose the form of a join; keys may be normal forms."""
+    left = flow(spark.range(100_000).select(F.col("id").alias("k")), "k", "k")
+    few = flow(spark.createDataFrame([(3,), (4,)], "r long"), "r", "r")
+    for join in (op.ordered_join, op.unordered_join):
+        found = left >> join(few, [("k", "r")])
+        assert len(found.df.collect()) == 2
+        assert "BroadcastHashJoin" in found.df._jdf.queryExecution().executedPlan().toString()
+    mixed = seq(spark, ["AA", "b", "cC"], order=True)
+    assert values(mixed >> op.ordered_join(seq(spark, ["aa", "CC"], name="r", order=True), [(F.lower("value"), F.lower("r"))])) == ["AA", "cC"]
+    assert values(seq(spark, ["b", "AA"]) >> op.auto_join(seq(spark, ["aa"], name="r"), [(F.lower("value"), F.lower("r"))])) == ["AA"]
+
+
+def test_comparators_of_merge_and_flatten(spark):
+    a, b = (flow(spark.createDataFrame([(x,) for x in items], "value string"), "value", "value") for items in (["a", "C"], ["B", "c", "D"]))
+    merged = a >> op.union_merge(b, [F.lower("value")])
+    assert values(merged) == ["a", "B", "C", "c", "D"] and merged.ordered
+    down = seq(spark, [2, 1], "int") >> op.ordering_flat_mapping(F.array(F.col("value") + 10, F.col("value")), "x", lambda x: -x)
+    assert values(down, "x") == [12, 11, 2, 1]
+    assert values(seq(spark, ["a", "b"], order=True) >> op.auto_diff(seq(spark, ["a"], order=True))) == ["b"]
+    with pytest.raises(UnorderedInput):
+        seq(spark, ["a"]) >> op.ordered_diff(seq(spark, ["a"]))
+
+
+def test_steps_compose_without_a_source(spark):
+    odd = op.where(F.col("value") % 2 == 1)
+    squares = op.mapping((F.col("value") * F.col("value")).alias("value"))
+    both = odd >> squares
+    f = sources.of_iota(spark, 0, 6)
+    assert values(f >> both) == values(f >> (odd, squares)) == [1, 9, 25]
+    assert (f >> (both >> agg.total(F.col("value")))).first()[0] == 35
+    assert values(f >> (odd >> (squares, op.where(F.col("value") > 1)))) == [9, 25]
+
+
 def test_zip(spark):
     a, b, c = seq(spark, [1, 2, 3], "int", name="a"), seq(spark, list("abcd"), name="b"), seq(spark, [1.1, 2.2], "double", name="c")
     assert [tuple(r)[1:] for r in (a >> op.zip_short(b, c)).df.orderBy("pos").collect()] == [(1, "a", 1.1), (2, "b", 2.2)]

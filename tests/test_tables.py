@@ -1,13 +1,12 @@
 """Key-value tables against a sorted model, the store, streams, the ordinal, the registered queries."""
 
 import random
-import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from tideline import flow
-from tideline.flow import number_rows
+from tideline.flow import in_ranges, number_rows
 from tideline.plans.kv import KeyValues
 from tideline.plans.store import ClosedTransaction, ConcurrentChange, Isolation, Store, with_retries
 from tideline.streaming import Log, Queue, run_once, upsert_into
@@ -121,10 +120,7 @@ def test_streams(spark, tmp_path):
     assert sorted(got) == [1, 2]
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_ordinal(spark, monkeypatch, limit):
-    """Over one task and over ranges the numbers are the same."""
-    monkeypatch.setattr(sys.modules["tideline.flow"], "ONE_TASK_ROWS", limit)
+def test_ordinal(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["", "a", "é", "zz", None]), rng.randint(0, 50), i) for i in range(500)]
     df = spark.createDataFrame(rows, "s string, n int, i int")
@@ -136,6 +132,21 @@ def test_ordinal(spark, monkeypatch, limit):
     assert number_rows(df.where("false"), ["n"]).count() == 0
 
 
+@pytest.mark.parametrize("by", [["url"], ["level", "url"]])
+def test_ordinal_spreads_common_leads(spark, by):
+    """Keys that begin alike, and a first column of three values, go to more than half of the tasks."""
+    rows = spark.range(20_000).select(F.format_string("https://example.org/%06d", "id").alias("url"), (F.col("id") % 3).alias("level"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged, place = in_ranges(rows, by)
+        tasks = ranged.select(F.shiftright(place, 33)).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    numbered = number_rows(rows, by)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) / 2
+    assert numbered.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first() == (0, 19_999, 20_000)
+
+
 def test_queries_against_sql(spark, sf_dir):
     duckdb = pytest.importorskip("duckdb")
     from tideline.plans import catalog

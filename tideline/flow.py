@@ -7,31 +7,65 @@ Spark rows have no order.  A ``Flow`` therefore carries two facts beside the Dat
 * ``pos``: columns that define encounter order, unique in the sequence.  Only operators
   that need positions (zip, first-kept distinct, take_while ...) look at it.
 
-A pipeline is composed with ``>>``; nothing runs before an action.
+A pipeline is composed with ``>>``: ``flow >> step``, ``step >> step``, a tuple of steps in
+turn.  Nothing runs before an action, but that numbering rows writes them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import wraps
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .shared import written
 
 
 class UnorderedInput(RuntimeError):
     """An operator that needs a sorted input got one without the trait."""
 
 
+class Step:
+    """What turns a flow into another, or into a value; ``step >> step`` is a step too, without a source."""
+
+    def __init__(self, run: Callable[[Flow], Any]):
+        self.run = run
+
+    def __call__(self, f: Flow) -> Any:
+        return self.run(f)
+
+    def __rshift__(self, other: Callable[[Flow], Any] | tuple) -> Step:
+        return Step(lambda f: f >> self >> other)
+
+    def __rrshift__(self, before: tuple) -> Step:
+        return Step(lambda f: f >> before >> self)
+
+
+def stepwise(make: Callable[..., Callable[[Flow], Any]]) -> Callable[..., Step]:
+    """The steps that ``make`` gives can be composed."""
+
+    @wraps(make)
+    def made(*args, **options) -> Step:
+        return Step(make(*args, **options))
+
+    return made
+
+
 @dataclass(frozen=True)
 class Flow:
     df: DataFrame
     pos: tuple[str, ...] = ()
     order: tuple[str, ...] | None = None
 
-    def __rshift__(self, step: Callable[[Flow], Any]) -> Any:
+    def __rshift__(self, step: Callable[[Flow], Any] | tuple) -> Any:
+        if isinstance(step, tuple):
+            out = self
+            for s in step:
+                out = out >> s
+            return out
         return step(self)
 
     @property
@@ -60,41 +94,31 @@ def flow(df: DataFrame, pos: str | Sequence[str] = (), order: str | Sequence[str
     return Flow(df, listed(pos), None if order is None else listed(order))
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A number that ascends (not strictly) with a column."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("long")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(name)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("long")
-    return F.col(name).cast("double") if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(name).cast("long")
-
-
-#: rows below which one task numbers them all; a shuffle for more would not pay
-ONE_TASK_ROWS = 200_000
-
-
 def number_rows(df: DataFrame, by: Sequence[str], name: str = "pos") -> DataFrame:
     """``row_number() - 1`` over the order ``by``, without a global window.
 
-    Cut points from an approximate percentile of the first column spread the rows over
-    ranges; rows are numbered within their range and moved by the sizes of the ranges
-    before.  Cut points are literals, so that a task that runs again agrees.
+    The rows are dealt to ranges of all columns of the order, sorted within, and written:
+    a row's number is its place in its task's range and the sizes of the ranges before.
     """
-    lead = _as_number(df, by[0])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / parts for k in range(1, parts)] or [0.5]
-    cuts, rows = df.agg(F.percentile_approx(lead, shares, 10_000), F.count("*")).first()
+    ranged, place = in_ranges(df, by)
+    task = F.shiftright(place, 33).cast("int")
+    sizes = ranged.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))  # a row per task
+    before = sizes.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
+    within = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(before), task == F.col("_task")).withColumn(name, F.col("_before") + within).drop(place, "_task", "_before")
+
+
+def in_ranges(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, str]:
+    """The rows, written in ranges of the order, and the column with the task and the place in its range (33 bits)."""
     order = [F.col(c).asc_nulls_first() for c in by]
-    if rows <= ONE_TASK_ROWS or not cuts:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    cuts = sorted(set(cuts))
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < lead)), F.lit(0))
-    ranged = df.withColumn("_range", F.when(lead.isNull(), F.lit(-1)).otherwise(bucket))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per range
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + within).cast("long")).drop("_range", "_before")
+    place = new_name(df, "_place")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranged.withColumn(place, F.monotonically_increasing_id()), "numbered"), place
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..flow import Flow
+from ..flow import Flow, number_rows, stepwise
 
 Collector = Callable[[Flow], DataFrame]
 
@@ -23,6 +23,7 @@ class EmptySequence(LookupError):
     """The first or last element of nothing."""
 
 
+@stepwise
 def total(of: Column, name: str = "sum", initial: Column | None = None) -> Collector:
     """The sum, zero for no elements, added to ``initial``."""
 
@@ -33,14 +34,17 @@ def total(of: Column, name: str = "sum", initial: Column | None = None) -> Colle
     return run
 
 
+@stepwise
 def product(of: Column, initial: float = 1.0, name: str = "product") -> Collector:
     return lambda f: f.df.agg((F.lit(float(initial)) * F.coalesce(F.product(of), F.lit(1.0))).alias(name))
 
 
+@stepwise
 def count(name: str = "count", initial: int = 0) -> Collector:
     return lambda f: f.df.agg((F.count("*") + F.lit(initial)).alias(name))
 
 
+@stepwise
 def fold(initial: Column, step: Callable[[Column, Column], Column], of: Column, name: str = "value") -> Collector:
     """A left fold in encounter order: the elements come together in one array.  For short sequences or groups."""
 
@@ -51,10 +55,12 @@ def fold(initial: Column, step: Callable[[Column, Column], Column], of: Column,
     return run
 
 
+@stepwise
 def first(name: str = "first", of: Column | None = None) -> Collector:
     return lambda f: _end(f, F.min_by, of, name)
 
 
+@stepwise
 def last(name: str = "last", of: Column | None = None) -> Collector:
     return lambda f: _end(f, F.max_by, of, name)
 
@@ -77,10 +83,12 @@ def is_empty(f: Flow) -> bool:
     return f.df.isEmpty()
 
 
+@stepwise
 def for_each(act: Callable) -> Callable[[Flow], None]:
     return lambda f: f.element().foreach(act)
 
 
+@stepwise
 def drain(path: str, mode: str = "append") -> Callable[[Flow], None]:
     """All elements to a Parquet folder."""
     return lambda f: f.element().write.mode(mode).parquet(path)
@@ -131,6 +139,7 @@ def merge_sums(parts, kind: str) -> tuple[float, float]:
     return s, c
 
 
+@stepwise
 def compensated(of: Column, kind: str, name: str = "sum") -> Collector:
     """``kind`` is kahan or neumaier; nulls are left out, nothing sums to 0."""
 
@@ -162,6 +171,7 @@ def compensated(of: Column, kind: str, name: str = "sum") -> Collector:
     return run
 
 
+@stepwise
 def pairwise(of: Column, name: str = "sum") -> Collector:
     """Two alternating strands in encounter order, added at the end; partial sums make many strands of it."""
 

@@ -8,11 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..flow import Flow, UnorderedInput
-
-Step = Callable[[Flow], Flow]
+from ..flow import Flow, Step, UnorderedInput, stepwise
 
 
+@stepwise
 def mapping(*columns: Column, order: Sequence[str] | None = None, step: str | None = None) -> Step:
     """One element for each; ``order`` promises the result's order; ``step`` names a column with the position."""
 
@@ -26,10 +25,12 @@ def mapping(*columns: Column, order: Sequence[str] | None = None, step: str | No
     return run
 
 
+@stepwise
 def where(condition: Column) -> Step:
     return lambda f: f.over(f.df.where(condition))
 
 
+@stepwise
 def where_stateful(keep: Callable[[dict, int], bool | None]) -> Step:
     """``keep(row, emitted)``: the step counts rows that were let through, None ends the sequence.
 
@@ -54,6 +55,7 @@ def where_stateful(keep: Callable[[dict, int], bool | None]) -> Step:
     return run
 
 
+@stepwise
 def take_while(condition: Column) -> Step:
     """The elements before the first that fails: one aggregate, no window; the trait is dropped."""
 
@@ -66,11 +68,13 @@ def take_while(condition: Column) -> Step:
     return run
 
 
+@stepwise
 def maf(condition: Column, *columns: Column, order: Sequence[str] | None = None) -> Step:
     """Map and filter in one: Catalyst fuses the two."""
     return lambda f: mapping(*columns, order=order)(where(condition)(f))
 
 
+@stepwise
 def flat_mapping(children: Column, name: str, order: Sequence[str] | None = None) -> Step:
     """Each element of the arrays ``children``; empty arrays give nothing."""
 
@@ -81,17 +85,27 @@ def flat_mapping(children: Column, name: str, order: Sequence[str] | None = None
     return run
 
 
-def ordering_flat_mapping(children: Column, name: str) -> Step:
-    """Flatten and merge: the result ascends by ``name``; arrays that do not ascend are an error."""
+@stepwise
+def ordering_flat_mapping(children: Column, name: str, form: Callable[[Column], Column] | None = None) -> Step:
+    """Flatten and merge: the result ascends by ``name``; arrays that do not ascend are an error.
+
+    ``form`` gives a comparator as the normal form of a child that it compares.
+    """
 
     def run(f: Flow) -> Flow:
-        checked = F.when(F.array_sort(children) == children, children).otherwise(F.raise_error(F.lit("children must be ordered")))
+        forms = children if form is None else F.transform(children, form)
+        checked = F.when(F.array_sort(forms) == forms, children).otherwise(F.raise_error(F.lit("children must be ordered")))
         df = f.df.select("*", F.posexplode(checked).alias("_child", name))
-        return Flow(df, (name, *f.pos, "_child"), (name,))
+        by = name
+        if form is not None:
+            by = "_form"
+            df = df.withColumn(by, form(F.col(name)))
+        return Flow(df, (by, *f.pos, "_child"), (by,))
 
     return run
 
 
+@stepwise
 def or_default(alternative: Flow) -> Step:
     """The alternative if the sequence is empty; decided in the plan by one row's existence."""
 
@@ -106,6 +120,7 @@ def or_default(alternative: Flow) -> Step:
     return run
 
 
+@stepwise
 def on_error(value: Column, name: str, alternative: DataFrame, default: Column | None = None, is_error: Column | None = None) -> Step:
     """``value`` for each element up to the first that fails, then the alternative's rows.
 
@@ -127,11 +142,13 @@ def on_error(value: Column, name: str, alternative: DataFrame, default: Column |
     return run
 
 
+@stepwise
 def repeater() -> Step:
     """Materialise on the first pass and replay: the cache manager's."""
     return lambda f: f.over(f.df.cache())
 
 
+@stepwise
 def sort(*by: str) -> Step:
     """Ordered by ``by``; nothing happens if the trait says so already."""
 
@@ -143,6 +160,7 @@ def sort(*by: str) -> Step:
     return run
 
 
+@stepwise
 def minibatch(rows: int) -> Step:
     """Prefetching has no meaning in a batch plan: content and order are the same."""
     if rows < 2:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def _materialised(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so that a lost executor costs no recomputation of all levels."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints")
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

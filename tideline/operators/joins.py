@@ -7,36 +7,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..flow import Flow
-from .elementwise import Step, require_order
+from ..flow import Flow, Step, stepwise
+from .elementwise import require_order
 
-On = Sequence[tuple[str, str]]
+#: pairs of keys, here and there: names, or expressions as the normal forms under which elements are equal
+On = Sequence[tuple[str | Column, str | Column]]
+
+
+def _key(k: str | Column) -> Column:
+    return F.col(k) if isinstance(k, str) else k
 
 
 def _members(df: DataFrame, other: DataFrame, on: On) -> DataFrame:
-    """Rows of ``df`` with a partner: the other side is cut to its key before the shuffle."""
-    keys = other.select(*[F.col(b).alias(f"_m{i}") for i, (_, b) in enumerate(on)])
+    """Rows of ``df`` with a partner: the other side is cut to its key before the shuffle.
+
+    Sizes choose the form: AQE broadcasts a side that is small, and splits keys that are hot.
+    """
+    keys = other.select(*[_key(b).alias(f"_m{i}") for i, (_, b) in enumerate(on)])
     same = None
     for i, (a, _) in enumerate(on):
-        equal = df[a] == keys[f"_m{i}"]
+        equal = _key(a) == F.col(f"_m{i}")
         same = equal if same is None else same & equal
     return df.join(keys, same, "left_semi")
 
 
+@stepwise
 def ordered_join(other: Flow, on: On) -> Step:
-    """Elements here that have an equal there, as often as they are here; both are sorted, and so is the result."""
+    """Elements here that have an equal there, as often as they are here; both are sorted, and so is the result.
+
+    The order is a trait of the result, not a form of the join.
+    """
 
     def run(f: Flow) -> Flow:
-        return f.over(_members(require_order(f).df, require_order(other).df.hint("merge"), on))
+        return f.over(_members(require_order(f).df, require_order(other).df, on))
 
     return run
 
 
+@stepwise
 def unordered_join(other: Flow, on: On) -> Step:
-    """The same by hashing the other side; AQE broadcasts it if it is small."""
-    return lambda f: f.over(_members(f.df, other.df.hint("shuffle_hash"), on))
+    """The same of sequences in any order."""
+    return lambda f: f.over(_members(f.df, other.df, on))
 
 
+@stepwise
 def auto_join(other: Flow, on: On) -> Step:
     """By the traits: an unordered sequence against a sorted one gives the *sorted* side's elements."""
 
@@ -50,6 +64,7 @@ def auto_join(other: Flow, on: On) -> Step:
     return run
 
 
+@stepwise
 def cartesian(*others: Flow) -> Step:
     """All combinations; the leftmost varies fastest, so that positions count from the right."""
 
@@ -72,6 +87,7 @@ def _at_lengths(keys: DataFrame, key: str, prefixes: DataFrame, prefix: str) ->
     return heads.withColumn("_head", F.expr(f"substring(`{key}`, 1, _n)")).drop("_n"), lengths
 
 
+@stepwise
 def prefix_join_inner(keys: DataFrame, key: str, prefix: str) -> Step:
     """For every prefix, duplicates included, all keys that start with it: an equi-join on cut keys, no nested loop."""
 
@@ -83,6 +99,7 @@ def prefix_join_inner(keys: DataFrame, key: str, prefix: str) -> Step:
     return run
 
 
+@stepwise
 def prefix_join_semi(keys: DataFrame, key: str, prefix: str) -> Step:
     """Each key that starts with some prefix, once, in key order."""
 
@@ -95,6 +112,7 @@ def prefix_join_semi(keys: DataFrame, key: str, prefix: str) -> Step:
     return run
 
 
+@stepwise
 def prefix_join(keys: DataFrame, key: str, prefix: str) -> Step:
     """By the trait: a sorted source filters the keys, an unsorted one is joined with them."""
     return lambda f: (prefix_join_semi if f.ordered else prefix_join_inner)(keys, key, prefix)(f)
@@ -103,25 +121,50 @@ def prefix_join(keys: DataFrame, key: str, prefix: str) -> Step:
 def overlap_join(left: DataFrame, right: DataFrame, l_pos: Column, l_count: Column, r_pos: Column, r_count: Column, width: int) -> DataFrame:
     """Pairs of half-open intervals [pos, pos + count) with a point in common.
 
-    Intervals are dealt to bins of ``width``; a pair is taken in the first bin that both
-    have, so that it comes once.  Empty intervals meet nothing.
+    Bins are of ``width``, 8 * ``width``, 64 * ``width`` ...: an interval goes to the at most
+    nine bins of the level at which it spans at most eight steps, so that long ones do not
+    explode.  At each pair of levels, which are few, the finer bins are taken up to the
+    coarser; a pair is taken in the first bin that both have, so that it comes once.
+    Empty intervals meet nothing.
     """
-
-    def binned(df: DataFrame, pos: Column, count: Column, side: str) -> DataFrame:
-        own = df.withColumns({f"_{side}a": pos, f"_{side}b": pos + count}).where(count > 0)
-        first, last = F.floor(F.col(f"_{side}a") / width), F.floor((F.col(f"_{side}b") - 1) / width)
-        return own.withColumn(f"_{side}f", first).withColumn("_bin", F.explode(F.sequence(first, last)))
-
-    both = binned(left, l_pos, l_count, "l").join(binned(right, r_pos, r_count, "r"), "_bin")
+    steps = [width * 8**k for k in range(21) if width * 8**k < 2**59]
+
+    def leveled(df: DataFrame, pos: Column, count: Column, side: str) -> DataFrame:
+        own = df.withColumns({f"_{side}a": pos.cast("long"), f"_{side}b": pos.cast("long") + count}).where(count > 0)
+        level = F.lit(len(steps) - 1)
+        for k in range(len(steps) - 1, -1, -1):
+            level = F.when(F.col(f"_{side}b") - F.col(f"_{side}a") <= 8 * steps[k], k).otherwise(level)
+        return own.withColumn(f"_{side}level", level)
+
+    def levels(df: DataFrame, side: str) -> DataFrame:
+        """The levels that a side has: at most one row each."""
+        return df.select(F.col(f"_{side}level").alias("_level")).distinct()
+
+    def binned(df: DataFrame, side: str, others: DataFrame) -> DataFrame:
+        """A row's bins at its own level and at each coarser one that the other side has."""
+        coarser = others.agg(F.sort_array(F.collect_set("_level")).alias("_levels"))
+        at = df.crossJoin(F.broadcast(coarser)).withColumn("_at", F.explode(F.array_union(F.filter("_levels", lambda v: v > F.col(f"_{side}level")), F.array(f"_{side}level")))).drop("_levels")
+        step = F.element_at(F.array(*[F.lit(s).cast("long") for s in steps]), F.col("_at") + 1)
+        first, last = F.col(f"_{side}a"), F.col(f"_{side}b") - 1
+        down = lambda x: ((x - F.pmod(x, step)) / step).cast("long")  # noqa: E731  # whole, towards minus infinity
+        at = at.withColumn("_step", step).withColumn(f"_{side}f", down(first))
+        return at.withColumn("_bin", F.explode(F.sequence(F.col(f"_{side}f"), down(last))))
+
+    a, b = leveled(left, l_pos, l_count, "l"), leveled(right, r_pos, r_count, "r")
+    x, y = binned(a, "l", levels(b, "r")), binned(b, "r", levels(a, "l")).withColumnsRenamed({"_bin": "_bin2", "_at": "_at2", "_step": "_step2"})
+    # a pair meets at the coarser of its two levels
+    met = x.join(y, (x["_at"] == y["_at2"]) & (x["_bin"] == y["_bin2"]) & (x["_at"] == F.greatest("_llevel", "_rlevel")))
     hit = (F.col("_la") < F.col("_rb")) & (F.col("_ra") < F.col("_lb")) & (F.col("_bin") == F.greatest("_lf", "_rf"))
-    return both.where(hit).drop("_bin", "_la", "_lb", "_lf", "_ra", "_rb", "_rf")
+    return met.where(hit).drop("_bin", "_bin2", "_at", "_at2", "_step", "_step2", *[f"_{s}{c}" for s in "lr" for c in ("a", "b", "f", "level")])
 
 
+@stepwise
 def zip_short(*others: Flow, name: str = "pos") -> Step:
     """By position, up to the shortest."""
     return _zip(others, "inner", name)
 
 
+@stepwise
 def zip_longest(*others: Flow, name: str = "pos") -> Step:
     """By position, up to the longest; what is missing is null, and ``_has<k>`` tells it from a null."""
     return _zip(others, "full", name)

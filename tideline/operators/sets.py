@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..flow import Flow
-from .elementwise import Step, require_order
+from ..flow import Flow, Step, stepwise
+from .elementwise import require_order
 
 
+@stepwise
 def union_all(*others: Flow) -> Step:
     """One sequence after the other, duplicates kept; the trait is dropped."""
 
@@ -27,17 +28,25 @@ def union_all(*others: Flow) -> Step:
     return run
 
 
+@stepwise
 def union_merge(other: Flow, by: Sequence[str | Column] | None = None) -> Step:
-    """Two sorted sequences as one, duplicates kept: a union and a sort, which Catalyst plans by ranges."""
+    """Two sorted sequences as one, duplicates kept: a union and a sort, which Catalyst plans by ranges.
+
+    ``by`` may hold expressions: the normal forms that a comparator compares.
+    """
 
     def run(f: Flow) -> Flow:
         if by is None:
             require_order(f)
             require_order(other)
         key = tuple(by) if by is not None else f.order
-        names = [k for k in key if isinstance(k, str)]
-        df = f.element().withColumn("_src", F.lit(0)).unionByName(other.element().withColumn("_src", F.lit(1))).orderBy(*key, "_src")
-        return Flow(df, (*names, "_src"), tuple(names) or None)
+        df = f.element().withColumn("_src", F.lit(0)).unionByName(other.element().withColumn("_src", F.lit(1)))
+        names = []
+        for i, k in enumerate(key):  # normal forms become columns of the engine's own
+            names.append(k if isinstance(k, str) else f"_by{i}")
+            if not isinstance(k, str):
+                df = df.withColumn(names[-1], k)
+        return Flow(df.orderBy(*names, "_src"), (*names, "_src"), tuple(names))
 
     return run
 
@@ -46,6 +55,7 @@ def _element_key(f: Flow, key: Sequence[Column] | None) -> list[Column]:
     return list(key) if key is not None else [F.col(c) for c in f.columns()]
 
 
+@stepwise
 def diff(other: Flow, key: Sequence[Column] | None = None) -> Step:
     """Multiset difference: of m equal elements here and n there, the last m - n in encounter order stay.
 
@@ -73,6 +83,19 @@ def diff(other: Flow, key: Sequence[Column] | None = None) -> Step:
     return run
 
 
+@stepwise
+def ordered_diff(other: Flow, key: Sequence[Column] | None = None) -> Step:
+    """The difference of two sorted sequences; the result is sorted."""
+    return lambda f: diff(require_order(other), key)(require_order(f))
+
+
+@stepwise
+def auto_diff(other: Flow, key: Sequence[Column] | None = None) -> Step:
+    """By the traits: the form for sorted sequences if both are, else the one for any."""
+    return lambda f: (ordered_diff if f.ordered and other.ordered else diff)(other, key)(f)
+
+
+@stepwise
 def distinct_first(key: Sequence[Column] | None = None) -> Step:
     """The first of equal elements in encounter order; partial aggregation before the shuffle."""
 
@@ -86,6 +109,7 @@ def distinct_first(key: Sequence[Column] | None = None) -> Step:
     return run
 
 
+@stepwise
 def distinct_sorted() -> Step:
     """Equal neighbours drop; the sequence must be sorted."""
 
@@ -95,6 +119,7 @@ def distinct_sorted() -> Step:
     return run
 
 
+@stepwise
 def distinct_adjacent(form: Column) -> Step:
     """Neighbours with equal normal forms drop: an element stays if its form differs from the one before."""
 
@@ -107,6 +132,7 @@ def distinct_adjacent(form: Column) -> Step:
     return run
 
 
+@stepwise
 def distinct_last_kept(equal: Callable[[dict, dict], bool]) -> Step:
     """Each element is compared with the last one *kept*; for relations that are not transitive.
 
@@ -131,5 +157,6 @@ def distinct_last_kept(equal: Callable[[dict, dict], bool]) -> Step:
     return run
 
 
+@stepwise
 def distinct_auto() -> Step:
     return lambda f: (distinct_sorted() if f.ordered else distinct_first())(f)
