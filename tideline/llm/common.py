@@ -2,79 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import uuid
-import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..flow import new_name
+from ..shared import drop_written, new_path, remove, shared_dir, written
 from ..workers import importable
 
-_OWN_DIR = "/tmp/checkpoints"
-_written: list[tuple[weakref.ref, str]] = []
-_paths: dict[int, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; an own one only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_OWN_DIR}"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; removed when this process ends."""
-    path = f"{shared_dir(spark)}/tideline/{name}-{uuid.uuid4().hex}"
-    _written.append((weakref.ref(spark), path))
-    return path
-
-
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage is cut there.
-
-    ``codec``: zstd for long texts; its native buffers are too large for many small files.
-    A lost executor costs only the tasks that were under way; what was written stays.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
-    weakref.finalize(out, _paths.pop, id(out), None)
-    return out
-
-
-def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove written tables that nothing needs any more, and let Spark drop the shuffle files behind them."""
-    for df in tables:
-        if path := _paths.pop(id(df), None):
-            remove(spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _remove_all() -> None:
-    for ref, path in _written:
-        if (spark := ref()) is not None:
-            with contextlib.suppress(Exception):
-                remove(spark, path)
-
-
-atexit.register(_remove_all)
+__all__ = ["beside_texts", "drop_written", "given_back", "new_name", "new_path", "remove", "shared_dir", "table", "written"]
 
 
 def given_back(batches):
@@ -101,13 +41,5 @@ def beside_texts(rows: DataFrame, wanted: DataFrame, per_list: int, name: str) -
     return texts.join(lists, (texts["d"] == lists["w"]) & (texts["list"] == lists["list"])).select("text", "doc_id", "l")
 
 
-def new_name(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column of ``df`` has it in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -162,21 +163,25 @@ class Shard:
         table[1:] = self.lengths
         return table[np.maximum(symbols.astype(np.int64) - self.first_symbol + 1, 0)]
 
+    @cached_property
+    def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rules one after the other, and where each begins."""
+        made: list[bytes] = []
+        for a, b in zip(self.lefts.tolist(), self.rights.tolist(), strict=True):
+            made.append(b"".join([made[x - self.first_symbol] if x >= self.first_symbol else x.to_bytes(4, "little") for x in (a, b)]))
+        return np.frombuffer(b"".join(made), "<u4"), np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        seq = symbols.astype(np.uint32)
-        lefts = np.concatenate([np.zeros(1, np.uint32), self.lefts])
-        rights = np.concatenate([np.zeros(1, np.uint32), self.rights])
-        while len(where := np.flatnonzero(seq >= self.first_symbol)):
-            rule = seq[where] - self.first_symbol + 1
-            size = np.ones(len(seq), np.int64)
-            size[where] = 2
-            spot = np.cumsum(size) - size
-            longer = np.empty(len(seq) + len(where), np.uint32)
-            longer[spot] = seq
-            longer[spot[where]] = lefts[rule]
-            longer[spot[where] + 1] = rights[rule]
-            seq = longer
-        return seq
+        symbols = symbols.astype(np.uint32)
+        flat, begins = self._expanded
+        lengths = self._lengths_of(symbols)
+        rule = np.flatnonzero(symbols >= self.first_symbol)
+        source = len(flat) + np.arange(len(symbols), dtype=np.int64)  # an id stands for itself
+        source[rule] = begins[symbols[rule] - self.first_symbol]
+        last = np.cumsum(lengths)
+        at = np.repeat(source - (last - lengths), lengths)
+        at += np.arange(len(at))
+        return np.concatenate([flat, symbols])[at]
 
     def document(self, k: int) -> np.ndarray:
         end = self.begins[k + 1] if k + 1 < len(self.begins) else len(self.symbols)
