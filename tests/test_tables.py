@@ -1,6 +1,7 @@
 """Key-value tables against a sorted model, the store, streams, the ordinal, the registered queries."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tideline import flow
 from tideline.flow import in_ranges, number_rows
 from tideline.plans.kv import KeyValues
-from tideline.plans.store import ClosedTransaction, ConcurrentChange, Isolation, Store, with_retries
+from tideline.plans.store import ClosedTransaction, ConcurrentChange, Isolation, Store, StoreError, with_retries
 from tideline.streaming import Log, Queue, run_once, upsert_into
 
 
@@ -101,6 +102,80 @@ def test_store(spark, tmp_path):
     assert {r.k for r in store.table(1).df.collect()} == {"a", "b"}  # an old version is still there
 
 
+def test_savepoints_end_with_their_transaction(spark, tmp_path):
+    rows = lambda **kv: spark.createDataFrame(list(kv.items()), "k string, v string")
+    store = Store(spark, f"file://{tmp_path}/s")
+    content = lambda: {r.k: r.v for r in store.table().df.collect()}
+    with store.begin() as t:
+        t.insert(rows(a="1"))
+        t.savepoint()
+        t.upsert(rows(b="2"))
+    assert content() == {"a": "1", "b": "2"} and not store.open
+    with pytest.raises(RuntimeError, match="stop"), store.begin() as t:
+        t.savepoint()
+        t.upsert(rows(c="3"))
+        raise RuntimeError("stop")
+    assert content() == {"a": "1", "b": "2"} and not store.open
+    assert store.read(Isolation.PREVENT).df.count() == 2
+    with store.begin() as t:
+        with pytest.raises(RuntimeError, match="inner"), t.savepoint():
+            t.upsert(rows(d="4"))
+            raise RuntimeError("inner")
+        with t.savepoint() as outer:
+            t.upsert(rows(e="5"))
+            inner = t.savepoint()
+            t.erase(rows(a="").select("k"))
+            inner.rollback()
+            with pytest.raises(ClosedTransaction):
+                inner.commit()
+        with pytest.raises(ClosedTransaction):
+            outer.rollback()
+        with t.shared() as table, pytest.raises(StoreError, match="share"):
+            assert table.df.count() == 3
+            t.commit()
+    assert content() == {"a": "1", "b": "2", "e": "5"}
+
+
+def test_commits_write_their_changes(spark, tmp_path):
+    """A micro-batch on a large table writes a small delta; reads lay the deltas over the base."""
+    store = Store(spark, f"file://{tmp_path}/s", max_deltas=3)
+    many = spark.range(50_000).select(F.format_string("k%06d", "id").alias("k"), F.uuid().alias("v"))
+    with store.begin() as t:
+        t.insert(many)
+    store.compact()
+    base = store.manifest(store.versions()[-1])["base"]
+    want = {r.k: r.v for r in store.table().df.collect()}
+    for n in range(6):
+        batch = [(f"k{n:06d}", "new"), (f"x{n}", "more")]
+        upsert_into(store)(spark.createDataFrame(batch, "k string, v string"), n)
+        with store.begin() as t:
+            t.erase(spark.createDataFrame([(f"k{n + 100:06d}",)], "k string"))
+        want |= dict(batch)
+        del want[f"k{n + 100:06d}"]
+        found = store.manifest(store.versions()[-1])
+        assert found["base"] == base and len(found["deltas"]) <= 3
+        assert sum(store.files.size(d) for d in found["deltas"]) < store.files.size(base) / 20
+    assert {r.k: r.v for r in store.table().df.collect()} == want
+    with store.begin() as t:
+        t.erase_prefix("k00")
+        t.insert(spark.createDataFrame([("k000001", "again"), ("y", "1")], "k string, v string"))
+        t.update(spark.createDataFrame([("y", "2"), ("zz", "none")], "k string, v string"))
+    want = {k: v for k, v in want.items() if not k.startswith("k00")} | {"k000001": "again", "y": "2"}
+    assert {r.k: r.v for r in store.table().df.collect()} == want
+    (tmp_path / "s" / "data-left-by-a-crash").mkdir()
+    assert "data-left-by-a-crash" in store.clean(keep=2)
+    assert {r.k: r.v for r in store.table().df.collect()} == want and len(store.versions()) == 2
+
+
+def test_one_of_racing_writers_wins(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    for n in range(5):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda k, n=n: store.files.create(f"race-{n}.json", str(k)), range(8)))
+        assert sum(won) == 1 and store.files.read(f"race-{n}.json") == str(won.index(True))
+    assert [f for f in store.files.names() if f.startswith("_race")] == []
+
+
 def test_streams(spark, tmp_path):
     log = Log(spark, f"{tmp_path}/log", "k string, v string, n int", sort="n", bloom=["k"])
     log.append(spark.createDataFrame([("a", "1", 1), ("b", "1", 2)], log.schema))

@@ -7,12 +7,15 @@ pairs are merged by the same step, so that no task sees all rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..flow import Flow, number_rows, stepwise
 
@@ -44,13 +47,71 @@ def count(name: str = "count", initial: int = 0) -> Collector:
     return lambda f: f.df.agg((F.count("*") + F.lit(initial)).alias(name))
 
 
+#: rows of a block that a fold takes together
+BLOCK = 8192
+
+
+@stepwise
+def fold(initial: Column, step: Callable[[Column, Column], Column], of: Column, name: str = "value", merge: Callable[[Column, Column], Column] | None = None) -> Collector:
+    """A left fold in encounter order.
+
+    With ``merge``, which joins the values of neighbouring stretches that were each folded
+    from ``initial``, the stretches are folded where they are and their values merged, a
+    block at a time.  Without it every step needs the one before, and the elements come
+    together in one array: for short sequences.
+    """
+
+    def run(f: Flow) -> DataFrame:
+        if merge is None:
+            rows = F.array_sort(F.collect_list(F.struct(*f.pos, of.alias("_of"))))
+            return f.df.agg(F.aggregate(F.transform(rows, lambda r: r["_of"]), initial, step).alias(name))
+        rows = number_rows(f.df.select(*f.pos, of.alias("_of")), f.pos, "_n").select("_n", "_of")
+        n, how, start = rows.count(), step, initial
+        while True:
+            block = F.array_sort(F.collect_list(F.struct("_n", "_of")))
+            folded = F.aggregate(F.transform(block, lambda r: r["_of"]), start, how)
+            if n <= BLOCK:
+                return rows.agg(folded.alias(name))
+            rows = rows.groupBy((F.col("_n") / BLOCK).cast("long").alias("_n")).agg(folded.alias("_of"))
+            n, how = -(-n // BLOCK), merge
+
+    return run
+
+
 @stepwise
-def fold(initial: Column, step: Callable[[Column, Column], Column], of: Column, name: str = "value") -> Collector:
-    """A left fold in encounter order: the elements come together in one array.  For short sequences or groups."""
+def collected(start: Callable[[], Any], consume: Callable[[Any, pa.RecordBatch], Any], merge: Callable[[Any, Any], Any], complete: Callable[[Any], dict], schema: str, *of: Column, fan: int = 16) -> Collector:
+    """A collector of the user's own.
+
+    ``start()`` makes a state in each task, ``consume(state, batch)`` takes in an Arrow
+    batch of the columns ``of``, ``merge`` joins two states, ``complete(state)`` gives the
+    row.  States are pickled; ``fan`` tasks merge those of all tasks, and one merges theirs.
+    The order of rows is not kept.
+    """
 
     def run(f: Flow) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct(*f.pos, of.alias("_of"))))
-        return f.df.agg(F.aggregate(F.transform(rows, lambda r: r["_of"]), initial, step).alias(name))
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = start()
+            for b in batches:
+                state = consume(state, b)
+            yield pa.RecordBatch.from_pydict({"state": [pickle.dumps(state)]}, schema=pa.schema([("state", pa.binary())]))
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[Any]:
+            state, some = start(), False
+            for b in batches:
+                for x in b.column(0):
+                    state, some = merge(state, pickle.loads(x.as_py())) if some else pickle.loads(x.as_py()), True
+            return state
+
+        def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_pydict({"state": [pickle.dumps(joined(batches))]}, schema=pa.schema([("state", pa.binary())]))
+
+        def last_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_pylist([complete(joined(batches))], schema=kind)
+
+        kind = to_arrow_schema(f.df.sparkSession.createDataFrame([], schema).schema)
+        columns = [F.col(c) for c in f.columns()] if not of else list(of)
+        states = f.df.select(*columns).mapInArrow(part, "state binary")
+        return states.repartition(fan).mapInArrow(fewer, "state binary").repartition(1).mapInArrow(last_, schema)
 
     return run
 
@@ -173,11 +234,29 @@ def compensated(of: Column, kind: str, name: str = "sum") -> Collector:
 
 @stepwise
 def pairwise(of: Column, name: str = "sum") -> Collector:
-    """Two alternating strands in encounter order, added at the end; partial sums make many strands of it."""
+    """Neighbours in encounter order are added in pairs; pairs go to two strands in turn, which are added at the end.
+
+    Nulls are left out; nothing sums to 0.
+    """
 
     def run(f: Flow) -> DataFrame:
-        lane = F.pmod(F.xxhash64(*f.pos), F.lit(2)) if f.pos else F.lit(0)
-        strands = f.df.groupBy(lane.alias("_lane")).agg(F.sum(of.cast("double")).alias("s"))
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sums of whole pairs by strand; what stands alone at a batch's ends keeps its pair's number."""
+            for batch in batches:
+                n, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                order = np.argsort(n, kind="stable")
+                n, x = n[order], x[order]
+                first = np.flatnonzero((n[:-1] % 2 == 0) & (n[1:] == n[:-1] + 1)) if len(n) else np.zeros(0, np.int64)
+                alone = np.ones(len(n), bool)
+                alone[first] = alone[first + 1] = False
+                sums, strand = x[first] + x[first + 1], n[first] // 2 % 2
+                pairs = [-1, -2, *(n[alone] // 2).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array([sums[strand == 0].sum(), sums[strand == 1].sum(), *x[alone].tolist()], pa.float64())], ["pair", "s"])
+
+        rows = f.df.select(*f.pos, of.cast("double").alias("_x")).where("_x is not null")
+        numbered = number_rows(rows, f.pos, "_n") if f.pos else rows.withColumn("_n", F.monotonically_increasing_id())
+        sums = numbered.select("_n", "_x").mapInArrow(part, "pair long, s double")
+        strands = sums.groupBy("pair").agg(F.sum("s").alias("s")).groupBy(F.when(F.col("pair") < 0, -1 - F.col("pair")).otherwise(F.pmod("pair", F.lit(2))).alias("strand")).agg(F.sum("s").alias("s"))
         return strands.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias(name))
 
     return run

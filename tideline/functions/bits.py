@@ -70,5 +70,6 @@ def ceil_power(x: Column) -> Column:
 
 
 def unsigned_difference(a: Column, b: Column) -> Column:
-    """a - b of unsigned values; an overflow of the signed result raises under ANSI arithmetic."""
-    return a - b
+    """a - b of unsigned values, signed; one that does not fit in 64 bits raises, as casts do under ANSI rules."""
+    wide = lambda x: F.when(x < 0, x.cast("decimal(21,0)") + F.lit(str(2**64)).cast("decimal(21,0)")).otherwise(x.cast("decimal(21,0)"))
+    return (wide(a) - wide(b)).cast("long")

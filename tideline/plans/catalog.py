@@ -6,8 +6,6 @@ a column.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +16,12 @@ from ..flow import Flow, flow
 from ..functions import aggregates as agg
 from ..functions import bits, intervals, strings
 from ..operators import (
-    auto_join, cartesian, descendants, diff, distinct_adjacent, distinct_auto, distinct_first, flat_mapping, maf, mapping, minibatch, on_error, or_default, ordered_join,
+    auto_diff, auto_join, cartesian, descendants, diff, distinct_adjacent, distinct_auto, distinct_first, distinct_last_kept, flat_mapping, maf, mapping, minibatch, on_error, or_default, ordered_join,
     ordering_flat_mapping, overlap_join, prefix_join, reachable, repeater, sort, take_while, union_all, union_merge, unordered_join, where, where_stateful, zip_longest, zip_short,
 )
+from ..shared import new_path
 from .kv import KeyValues
-from .store import Isolation, Store
+from .store import ConcurrentChange, Isolation, Store, with_retries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,7 +203,9 @@ def repeat_twice(spark, sf_dir):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS pos, o_orderkey FROM orders")
 def sort_parallel(spark, sf_dir):
-    return (orders(spark, sf_dir) >> sort("o_totalprice")).ordinal().select("pos", "o_orderkey")
+    # what is sorted is numbered by its ranges: the sort is a promise, and no second one
+    f = flow(read(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], ["o_totalprice", "o_orderkey"])
+    return (f >> sort("o_totalprice")).ordinal().select("pos", "o_orderkey")
 
 
 # ---- sets
@@ -562,8 +563,7 @@ def string_compare(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/tideline-store-{uuid.uuid4().hex}"
+    return new_path(spark, "store")
 
 
 @query("SELECT n_name AS k, CASE WHEN n_regionkey = 1 THEN 'new' ELSE 'old' END AS v FROM nation WHERE n_regionkey <> 2")
@@ -574,9 +574,9 @@ def tx_savepoint(spark, sf_dir):
         t.insert(nation.select(F.col("n_name").alias("k"), F.lit("old").alias("v")))
     with store.begin() as t:
         t.upsert(nation.where("n_regionkey = 1").select(F.col("n_name").alias("k"), F.lit("new").alias("v")))
-        t.savepoint()
+        within = t.savepoint()
         t.erase(nation.where("n_regionkey = 3").select(F.col("n_name").alias("k")))
-        t.rollback()  # to the savepoint
+        within.rollback()
         t.erase(nation.where("n_regionkey = 2").select(F.col("n_name").alias("k")))
     return store.table().df
 
@@ -637,3 +637,255 @@ def stream_queue(spark, sf_dir):
     queue.stop()
     run_once(queue.stream(), f"{folder}/progress", lambda batch, n: batch.write.mode("append").parquet(f"{folder}/out"))
     return spark.read.schema("k int, name string").parquet(f"{folder}/out")
+
+
+# ---- sources, steps and collectors of the user's own
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey > 1")
+def src_outer(spark, sf_dir):
+    return (sources.outer(read(spark, sf_dir, "nation"), "n_nationkey") >> where(F.col("n_regionkey") > 1)).df.select("n_nationkey")
+
+
+@query("SELECT CAST(a * 10 + b AS BIGINT) AS v FROM range(4) x(a), range(5) y(b)")
+def src_data_source(spark, sf_dir):
+    return sources.of_source(spark, [0, 1, 2, 3], lambda a: ((10 * a + b,) for b in range(5)), "v long", "v", "v").df
+
+
+@query("SELECT n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA') UNION ALL SELECT r_name FROM region WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA')")
+def src_chosen_late(spark, sf_dir):
+    there = read(spark, sf_dir, "region").where("r_name = 'ASIA'").agg(F.count("*") > 0)
+    names = lambda t, c: flow(read(spark, sf_dir, t).select(F.col(c).alias("name")), "name", "name")
+    return sources.chosen_late(there, names("nation", "n_name"), names("region", "r_name")).df
+
+
+@query("SELECT o_orderkey AS k, CAST(o_custkey * 2 AS BIGINT) AS v FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 1")
+def compose_steps(spark, sf_dir):
+    final = where(F.col("o_orderstatus") == "F")
+    third = final >> where(F.col("o_custkey") % 3 == 1)  # no source yet
+    return (orders(spark, sf_dir) >> (third, mapping(F.col("o_orderkey").alias("k"), (F.col("o_custkey") * 2).alias("v")))).element()
+
+
+@query("SELECT event_type FROM events WHERE value > 20 EXCEPT ALL SELECT event_type FROM events WHERE value > 60")
+def diff_auto(spark, sf_dir):
+    part = lambda c: flow(read(spark, sf_dir, "events").where(c).select("event_type"), (), "event_type")
+    return (part(F.col("value") > 20) >> auto_diff(part(F.col("value") > 60))).element()
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey // 10 IN (SELECT o_custkey // 10 FROM orders WHERE o_orderstatus = 'P')")
+def join_custom_cmp(spark, sf_dir):
+    tens = lambda c: F.floor(F.col(c) / 10)
+    others = flow(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), ["o_custkey", "o_orderkey"], "o_custkey")
+    return (keyed(spark, sf_dir, "customer", "c_custkey") >> ordered_join(others, [(tens("c_custkey"), tens("o_custkey"))])).df.select("c_custkey")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY lower(k), src, k) - 1 AS BIGINT) AS pos, k FROM (SELECT n_name AS k, 0 AS src FROM nation UNION ALL SELECT lower(r_name), 1 FROM region)")
+def union_merge_cmp(spark, sf_dir):
+    a = flow(read(spark, sf_dir, "nation").select(F.col("n_name").alias("k")), "k", "k")
+    b = flow(read(spark, sf_dir, "region").select(F.lower("r_name").alias("k")), "k", "k")
+    merged = a >> union_merge(b, [F.lower("k")])
+    return flow(merged.df, (*merged.pos, "k")).ordinal().select("pos", "k")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY v DESC, p_partkey) - 1 AS BIGINT) AS pos, v, p_partkey FROM (SELECT p_partkey, CAST(p_size + 20 - i * 10 AS INTEGER) AS v FROM part, range(3) t(i))")
+def ordering_flat_map_cmp(spark, sf_dir):
+    children = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.col("p_size") + 20 - i * 10)
+    return (parts(spark, sf_dir) >> ordering_flat_mapping(children, "v", lambda x: -x)).ordinal().select("pos", "v", "p_partkey")
+
+
+@query("WITH RECURSIVE t AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), w(k, kept, last) AS (SELECT 0, true, (SELECT r FROM t WHERE k = 0) UNION ALL SELECT w.k + 1, abs(t.r - w.last) > 1, CASE WHEN abs(t.r - w.last) > 1 THEN t.r ELSE w.last END FROM w JOIN t ON t.k = w.k + 1) SELECT CAST(k AS INTEGER) AS n_nationkey FROM w WHERE kept")
+def distinct_last(spark, sf_dir):
+    near = lambda a, b: abs(a["n_regionkey"] - b["n_regionkey"]) <= 1
+    return (keyed(spark, sf_dir, "nation", "n_nationkey") >> distinct_last_kept(near)).df.select("n_nationkey")
+
+
+@query("SELECT CAST(sum(l_linenumber * l_linenumber) AS BIGINT) AS squares, CAST(max(l_linenumber) AS BIGINT) AS largest FROM lineitem")
+def agg_custom(spark, sf_dir):
+    def consume(state, batch):
+        x = batch.column(0).to_numpy().astype("int64")
+        return (state[0] + int((x * x).sum()), max(state[1], int(x.max()))) if len(x) else state
+
+    merge = lambda a, b: (a[0] + b[0], max(a[1], b[1]))
+    finish = lambda s: {"squares": s[0], "largest": s[1]}
+    return flow(read(spark, sf_dir, "lineitem")) >> agg.collected(lambda: (0, 0), consume, merge, finish, "squares long, largest long", F.col("l_linenumber"))
+
+
+@query("SELECT string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS s FROM orders")
+def agg_fold_merge(spark, sf_dir):
+    return orders(spark, sf_dir) >> agg.fold(F.lit(""), lambda a, x: F.concat(a, x), F.col("o_orderstatus"), "s", merge=lambda a, b: F.concat(a, b))
+
+
+@query("SELECT 0 AS empty_before, count(*) AS drained, CAST(1 AS INTEGER) AS empty_none FROM nation")
+def collect_effects(spark, sf_dir):
+    """drain, for_each and is_empty: what is drained, by a look at each element, is read back."""
+    path = _folder(spark)
+    nations = keyed(spark, sf_dir, "nation", "n_nationkey")
+    nations >> agg.drain(path)
+    nations >> agg.for_each(lambda row: None)
+    none = nations >> where(F.lit(False))
+    return spark.read.parquet(path).agg(F.lit(int(agg.is_empty(nations))).alias("empty_before"), F.count("*").alias("drained"), F.lit(int(agg.is_empty(none))).alias("empty_none"))
+
+
+@query("SELECT n_nationkey AS k FROM nation")
+def iterated(spark, sf_dir):
+    rows = [(r["n_nationkey"],) for r in sources.iterate(keyed(spark, sf_dir, "nation", "n_nationkey"))]  # 25 rows, pulled
+    return spark.createDataFrame(rows, "k int")
+
+
+@query("SELECT p_partkey, CAST(p_partkey - p_size AS BIGINT) AS d FROM part")
+def unsigned_difference(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", bits.unsigned_difference(F.col("p_partkey"), F.col("p_size").cast("long")).alias("d"))
+
+
+@query("SELECT n_nationkey, CASE WHEN length(n_name) + 3 > 12 THEN (n_name || '...')[1:12] ELSE n_name || '...' END AS more, n_name[2:4] AS part, '**' || n_name[3:] AS by FROM nation")
+def string_edits(spark, sf_dir):
+    n = F.col("n_name")
+    return read(spark, sf_dir, "nation").select("n_nationkey", strings.append(n, F.lit("..."), 12, strict=False).alias("more"), strings.substr(n, F.lit(1), F.lit(3)).alias("part"), strings.replace(n, 0, 2, F.lit("**"), 40).alias("by"))
+
+
+# ---- more of key-value tables
+
+
+@query(_KV + "SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS pos, k, v FROM kv")
+def kv_scan(spark, sf_dir):
+    return _table(spark, sf_dir).scan().ordinal().select("pos", "k", "v")
+
+
+@query(_KV + "SELECT k, v FROM kv WHERE starts_with(k, 'c13') ORDER BY k LIMIT 1")
+def kv_prefixed_begin(spark, sf_dir):
+    return _table(spark, sf_dir).prefixed_begin("c13")
+
+
+@query(_KV + "SELECT EXISTS (SELECT 1 FROM kv WHERE starts_with(k, 'c1') AND k <> 'c1') AS a, EXISTS (SELECT 1 FROM kv WHERE starts_with(k, 'c1.1') AND k <> 'c1.1') AS b")
+def kv_has_child(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    return t.has_child("c1").toDF("a").crossJoin(t.has_child("c1.1").toDF("b"))
+
+
+@query(_KV + "SELECT k, v FROM kv WHERE starts_with(k, 'c1') AND k >= 'c12/' ORDER BY k LIMIT 1")
+def kv_prefixed_lower_bound(spark, sf_dir):
+    return _table(spark, sf_dir).lower_bound("2/", prefix="c1")
+
+
+@query("""WITH u AS (SELECT DISTINCT url FROM pages) SELECT count(*) + 1 AS nodes FROM u a WHERE EXISTS (SELECT 1 FROM u b WHERE starts_with(b.url, a.url) AND b.url <> a.url)""")
+def kv_nodes(spark, sf_dir):
+    return KeyValues(read(spark, sf_dir, "pages").select(F.col("url").alias("k")).distinct()).nodes_count()
+
+
+@query(_KV + """, t AS (SELECT * FROM kv WHERE k >= 'c2'), stop AS (SELECT min(k) AS s FROM t WHERE NOT starts_with(k, 'c2'))
+SELECT k, v FROM t, stop WHERE s IS NULL OR k < s""")
+def kv_range_builder(spark, sf_dir):
+    return _table(spark, sf_dir).range().starting(prefix="c2").going_on(prefix="c2").flow().df
+
+
+@query(_KV + f"SELECT t.k, t.v FROM kv t WHERE {_CHILDREN.format(p='c3')}")
+def kv_range_of_children(spark, sf_dir):
+    return _table(spark, sf_dir).range().starting_at_child_of("c3").by_sibling().going_on(prefix="c3").flow().df
+
+
+@query(_KV + "SELECT k, v FROM kv WHERE starts_with(k, 'c4') AND k >= 'c42' ORDER BY k LIMIT 1")
+def kv_range_lower_bound(spark, sf_dir):
+    return _table(spark, sf_dir).range().starting(prefix="c4").going_on(prefix="c4").lower_bound("c42")
+
+
+@query(_KV + ", n AS (SELECT 'c9' || r_name AS k, CAST(r_regionkey AS BIGINT) AS v FROM region UNION ALL SELECT 'c9', -1) SELECT k, v FROM kv UNION ALL SELECT k, v FROM n WHERE k NOT IN (SELECT k FROM kv)")
+def kv_prefixed_insert(spark, sf_dir):
+    return _table(spark, sf_dir).prefixed_insert("c9", _below_nine(spark, sf_dir)).df
+
+
+@query(_KV + ", n AS (SELECT 'c9' || r_name AS k, CAST(r_regionkey AS BIGINT) AS v FROM region UNION ALL SELECT 'c9', -1) SELECT k, coalesce(n.v, kv.v) AS v FROM kv FULL JOIN n USING (k)")
+def kv_prefixed_upsert(spark, sf_dir):
+    return _table(spark, sf_dir).prefixed_upsert("c9", _below_nine(spark, sf_dir)).df
+
+
+def _below_nine(spark, sf_dir):
+    region = read(spark, sf_dir, "region").select(F.col("r_name").alias("k"), F.col("r_regionkey").cast("long").alias("v"))
+    return region.unionByName(spark.createDataFrame([("", -1)], "k string, v long"))
+
+
+# ---- more of transactions
+
+
+@query("SELECT n_name AS k, CASE WHEN n_regionkey = 0 THEN 'x' ELSE 'y' END AS v FROM nation WHERE n_regionkey < 4")
+def tx_deltas(spark, sf_dir):
+    """Commits write what they change; more of them than are kept apart become one, and a compaction changes no row."""
+    nation = read(spark, sf_dir, "nation")
+    rows = lambda c, v: nation.where(c).select(F.col("n_name").alias("k"), F.lit(v).alias("v"))
+    store = Store(spark, _folder(spark), max_deltas=2)
+    for c, v in (("n_regionkey < 3", "y"), ("n_regionkey = 3", "z"), ("n_regionkey = 0", "x"), ("n_regionkey = 3", "y"), ("n_regionkey = 4", "y")):
+        with store.begin() as t:
+            t.upsert(rows(c, v))
+    store.compact()
+    with store.begin() as t:
+        t.erase(rows("n_regionkey = 4", "").select("k"))
+    return store.table().df
+
+
+@query("SELECT r_name AS k, 'kept' AS v FROM region UNION ALL SELECT lower(r_name), 'inner' FROM region")
+def tx_open_savepoint(spark, sf_dir):
+    """Leaving a transaction ends it as a whole, whatever is open within."""
+    region = read(spark, sf_dir, "region")
+    store = Store(spark, _folder(spark))
+    with store.begin() as t:
+        t.insert(region.select(F.col("r_name").alias("k"), F.lit("kept").alias("v")))
+        t.savepoint()
+        t.upsert(region.select(F.lower("r_name").alias("k"), F.lit("inner").alias("v")))
+    return store.table().df
+
+
+@query("SELECT 'conflict' AS what, 1 AS n UNION ALL SELECT 'apart', 2 UNION ALL SELECT 'tries', 2")
+def tx_conflicts(spark, sf_dir):
+    region = read(spark, sf_dir, "region")
+    store = Store(spark, _folder(spark))
+    row = lambda k, v: region.limit(1).select(F.lit(k).alias("k"), F.lit(v).alias("v"))
+    one, two, apart = store.begin(), store.begin(), store.begin()
+    one.upsert(row("m", "1"))
+    two.upsert(row("m", "2"))
+    apart.upsert(row("x", "3"))
+    one.commit()
+    conflicts = 0
+    try:
+        two.commit()
+    except ConcurrentChange:
+        conflicts += 1
+    apart.commit()
+    tries = []
+
+    def work():
+        t = store.begin()
+        t.upsert(row("m", str(len(tries))))
+        tries.append(t)
+        if len(tries) == 1:
+            with store.begin() as other:
+                other.upsert(row("m", "other"))
+        t.commit()
+
+    with_retries(3, work)
+    n = store.table().df.count()
+    return spark.createDataFrame([("conflict", conflicts), ("apart", n), ("tries", len(tries))], "what string, n int")
+
+
+@query("SELECT 'shared' AS what, count(*) AS n FROM region UNION ALL SELECT 'applied', count(*) FROM region WHERE r_name > 'B'")
+def tx_apply(spark, sf_dir):
+    """Readers share a transaction; a change may be any function of the table."""
+    region = read(spark, sf_dir, "region").select(F.col("r_name").alias("k"), F.lit("v").alias("v"))
+    store = Store(spark, _folder(spark))
+    with store.begin() as t:
+        t.insert(region)
+        with t.shared() as table:
+            seen = table.df.count()
+    with store.begin() as t:
+        t.change(lambda kv: KeyValues(kv.df.where("k > 'B'")))
+    return spark.createDataFrame([("shared", seen), ("applied", store.table().df.count())], "what string, n long")
+
+
+@query("SELECT count(*) AS n, true AS skipped FROM events WHERE event_id BETWEEN 100 AND 120")
+def log_skipping(spark, sf_dir):
+    """Buckets whose statistics exclude the condition are not read: the scan's own count of rows tells."""
+    from ..streaming import Log
+
+    log = Log(spark, f"{_folder(spark)}/log", "event_id long, user_id long", sort="event_id", bucket=100)
+    log.append(read(spark, sf_dir, "events").select("event_id", "user_id"))
+    condition = F.col("event_id").between(100, 120)
+    skipped = log.rows_read(condition) < log.size().first()[0]
+    return log.indexed(condition).agg(F.count("*").alias("n"), F.lit(skipped).alias("skipped"))

@@ -6,12 +6,14 @@ Parquet scan; tree queries become equi-joins on cut keys, never nested loops.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..flow import Flow
+from ..operators.elementwise import take_while
+from ..shared import written
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,14 @@ class KeyValues:
         found = self.find(key).agg(F.first(value).alias(value), F.count("*").alias("_n"))
         return found.select(F.when(F.col("_n") > 0, F.col(value)).otherwise(F.raise_error(F.lit("no such key"))).alias(value))
 
-    def lower_bound(self, key: str) -> DataFrame:
-        """The first row at or after ``key``; none for the empty key."""
+    def nodes_count(self) -> DataFrame:
+        """How many keys have others below them, and the root."""
+        return self.parents().select("parent").where("parent is not null").distinct().agg((F.count("*") + 1).alias("nodes"))
+
+    def lower_bound(self, key: str, prefix: str = "") -> DataFrame:
+        """The first row at or after ``key``; none for the empty key.  Within a prefix ``key`` goes on from it."""
+        if prefix:
+            return self._least(self.k.startswith(prefix) & (self.k >= prefix + key))
         return self._least((self.k >= key) & F.lit(key != ""))
 
     def next_lower_bound(self, current: str, key: str) -> DataFrame:
@@ -75,7 +83,8 @@ class KeyValues:
         return self._below(key).limit(1).agg((F.count("*") > 0).alias("found"))
 
     def _minimal(self, rows: DataFrame) -> DataFrame:
-        """Rows that no other of these rows' keys is a proper prefix of."""
+        """Rows that no other of these rows' keys is a proper prefix of.  The rows are needed three times, and written once."""
+        rows = written(rows, "kv-rows")
         keys = rows.select(F.col(self.key).alias("_a")).distinct()
         lengths = keys.agg(F.sort_array(F.collect_set(F.length("_a"))).alias("_lens"))  # one entry a length
         heads = rows.select(self.key).crossJoin(F.broadcast(lengths)).select(self.key, F.explode(F.filter("_lens", lambda n: n < F.length(self.key))).alias("_n"))
@@ -114,6 +123,10 @@ class KeyValues:
         nearest = heads.join(keys, "parent", "left_semi").groupBy(self.key).agg(F.max_by("parent", F.length("parent")).alias("parent"))
         return self.df.join(nearest, self.key, "left")
 
+    def range(self) -> KeyRange:
+        """A range to be put together from its beginning, its step and its end."""
+        return KeyRange(self)
+
     # ---- changes give a new table
 
     def _new(self, rows: DataFrame) -> DataFrame:
@@ -135,6 +148,16 @@ class KeyValues:
         new = self._new(rows)
         return KeyValues(self.df.join(new.select(self.key), self.key, "left_anti").unionByName(new), self.key)
 
+    def prefixed_insert(self, prefix: str, rows: DataFrame) -> KeyValues:
+        """Insert below a prefix: the rows' keys go on from it, an empty one stands for the prefix itself."""
+        return self.insert(self._prefixed(prefix, rows))
+
+    def prefixed_upsert(self, prefix: str, rows: DataFrame) -> KeyValues:
+        return self.upsert(self._prefixed(prefix, rows))
+
+    def _prefixed(self, prefix: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(self.key, F.concat(F.lit(prefix), F.col(self.key)))
+
     def erase(self, keys: DataFrame) -> KeyValues:
         return KeyValues(self.df.join(keys.select(self.key), self.key, "left_anti"), self.key)
 
@@ -142,3 +165,48 @@ class KeyValues:
         """Take out a subtree; its root may stay."""
         keep = ~self.k.startswith(prefix)
         return KeyValues(self.df.where(keep if erase_prefix else keep | (self.k == prefix)), self.key)
+
+
+@dataclass(frozen=True)
+class KeyRange:
+    """A walk over a table in key order: where it begins, how it steps, while what it goes on.
+
+    A condition ends the walk at the first row that fails, as a loop would.
+    """
+
+    table: KeyValues
+    first: Column | None = None
+    rows: DataFrame | None = None
+    siblings: bool = False
+    condition: Column | None = None
+
+    def starting(self, at: str | None = None, prefix: str | None = None) -> KeyRange:
+        """From the first row at or after a key, or from the first that begins with a prefix; nothing begins with the empty one."""
+        k = self.table.k
+        return replace(self, first=k >= at if at is not None else k.startswith(prefix) & F.lit(prefix != ""), rows=None)
+
+    def starting_at_child_of(self, key: str) -> KeyRange:
+        """From the first child of a key on; nothing if the key is not there."""
+        return replace(self, rows=self.table.first_child(key), first=None)
+
+    def by_sibling(self) -> KeyRange:
+        """Each step goes past what begins with the row."""
+        return replace(self, siblings=True)
+
+    def going_on(self, condition: Column | None = None, prefix: str | None = None) -> KeyRange:
+        more = condition if condition is not None else self.table.k.startswith(prefix)
+        return replace(self, condition=more if self.condition is None else self.condition & more)
+
+    def lower_bound(self, key: str) -> DataFrame:
+        """The first row of the range at or after a key."""
+        return self.flow().df.where(self.table.k >= key).orderBy(self.table.key).limit(1)
+
+    def flow(self) -> Flow:
+        key, df = self.table.key, self.table.df
+        begin = self.rows if self.rows is not None else df.where(self.first if self.first is not None else F.lit(True))
+        begin = begin.agg(F.min(key).alias("_begin"))  # one row
+        df = df.crossJoin(F.broadcast(begin)).where(F.col(key) >= F.col("_begin")).drop("_begin")
+        if self.siblings:
+            df = self.table._minimal(df)
+        out = Flow(df, (key,), (key,))
+        return out if self.condition is None else replace(take_while(self.condition)(out), order=(key,))

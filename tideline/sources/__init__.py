@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..flow import Flow, flow
 
@@ -116,3 +118,37 @@ def iterate(source: Flow) -> Iterable:
     """Rows of the element in encounter order, pulled partition by partition."""
     df = source.df.orderBy(*source.pos) if source.pos else source.df
     return df.select(*source.columns()).toLocalIterator()
+
+
+def of_source(spark: SparkSession, parts: Sequence[Any], read: Callable[[Any], Iterable[tuple]], schema: str, pos: str | Sequence[str] = (), order: str | Sequence[str] | None = None) -> Flow:
+    """A source of the user's own: ``read(part)`` gives the rows of a part, one task for each."""
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(p) for p in parts]
+
+        def read(self, partition):
+            yield from read(partition.value)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls):
+            return f"tideline_{key}"
+
+        def schema(self):
+            return schema
+
+        def reader(self, schema):
+            return Reader()
+
+    key = uuid.uuid4().hex
+    spark.dataSource.register(Source)
+    return flow(spark.read.format(f"tideline_{key}").load(), pos, order)
+
+
+def chosen_late(condition: DataFrame, yes: Flow, no: Flow) -> Flow:
+    """One of two pipelines with the same columns by a one-row DataFrame of a boolean, each time the plan runs."""
+    flag = F.broadcast(condition.toDF("_flag"))
+    taken = lambda f, c: f.df.crossJoin(flag).where(c).drop("_flag")
+    both = yes.ordered and yes.order == no.order
+    return Flow(taken(yes, F.col("_flag")).unionByName(taken(no, ~F.coalesce("_flag", F.lit(False)))), yes.pos if yes.pos == no.pos else (), yes.order if both else None)

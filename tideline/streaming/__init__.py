@@ -13,14 +13,16 @@ from ..plans.store import Files, Store
 
 
 class Log:
-    """Append-only Parquet; columns in ``bloom`` get Bloom filters, ``sort`` gives tight statistics for skipping."""
+    """Append-only Parquet in buckets (row groups) of ``bucket`` rows; columns in ``bloom`` get Bloom filters, ``sort`` gives tight statistics for skipping."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, sort: str | None = None, bloom: Iterable[str] = ()):
-        self.spark, self.path, self.schema, self.sort, self.bloom = spark, path, schema, sort, tuple(bloom)
+    def __init__(self, spark: SparkSession, path: str, schema: str, sort: str | None = None, bloom: Iterable[str] = (), bucket: int | None = None):
+        self.spark, self.path, self.schema, self.sort, self.bloom, self.bucket = spark, path, schema, sort, tuple(bloom), bucket
 
     def append(self, df: DataFrame) -> None:
         out = df.repartitionByRange(self.sort).sortWithinPartitions(self.sort) if self.sort else df
         writer = out.write.mode("append")
+        if self.bucket:
+            writer = writer.option("parquet.block.row.count.limit", self.bucket)
         for c in self.bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(self.path)
@@ -32,6 +34,15 @@ class Log:
         """Row groups are skipped by statistics and filters, and the rows are checked too."""
         return self.read().where(condition)
 
+    def rows_read(self, condition: Column) -> int:
+        """How many rows the scan of ``indexed`` gave to the check of rows: all of the buckets that were not skipped."""
+        found = self.indexed(condition)
+        found.collect()
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        plans = [leaves.apply(k) for k in range(leaves.size())]
+        plans = [p.plan() if p.getClass().getSimpleName() == "ShuffleQueryStageExec" else p for p in plans]
+        return sum(p.metrics().apply("numOutputRows").value() for p in plans if p.metrics().contains("numOutputRows"))
+
     def last(self, by: str) -> DataFrame:
         """The row with the greatest ``by``."""
         return self.read().orderBy(F.desc(by)).limit(1)
