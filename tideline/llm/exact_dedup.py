@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, given_back, new_name, written
+from .common import drop_written, given_back, new_name, without, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = 2**63 - 1
@@ -235,9 +235,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, with all their columns and no others."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = new_name(docs, "row_key")
-    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "exact-rows")
+    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "exact-rows", "zstd")
     groups, local = _groups(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, chunk_bytes=chunk_bytes, memory_bytes=memory_bytes)
-    kept = written(groups.where("kept").select(F.col("key").alias(key)), "exact-kept")
+    gone = written(groups.where("not kept").select(F.col("key").alias(key)), "exact-gone")
     del groups
     drop_written(docs.sparkSession, local)  # the contents have been compared
-    return numbered.join(kept.hint("merge"), key, "left_semi").select(*columns)  # the same plan at every size
+    return without(numbered, key, gone).select(*columns)

@@ -180,12 +180,13 @@ def pack(
     fill: int = 512,
     block: int = 1 << 19,
     max_bytes: int = MAX_BYTES,
+    batch_bytes: int = 4 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``max_bytes`` bounds a worker's table of pieces.
+    ``max_bytes`` bounds a worker's table of words, ``batch_bytes`` the text that is encoded at once.
     A sequence lies within one task's run of documents; its id holds the task's number
     and its own.
     """
@@ -203,7 +204,7 @@ def pack(
                 for at in range(0, len(rows), 65536):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536], f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
-        for batch in (b for large in batches for b in small_batches(large)):
+        for batch in (b for large in batches for b in small_batches(large, batch_bytes)):
             keys = batch.column(0).to_pylist()
             ids, lengths = encoder.encode(batch.column(1), end_id)
             at = 0

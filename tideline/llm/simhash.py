@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside_texts, given_back, new_name, written
+from .common import beside_texts, given_back, new_name, without, written
 
 FAN = 8
 SEED = 42
@@ -154,15 +154,20 @@ class GrayIndex:
     def near_pairs(self, most: int, sure: int, nearest: int, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of codes of a bucket with at most ``most`` differing bits: of each code the ``nearest`` after it.
 
-        Codes that ``sure`` or fewer bits link, directly or by others, are told apart no further.
+        Of pairs with ``sure`` or fewer bits those stay that are the nearest of one of the
+        two; codes that such pairs link, directly or by others, are told apart no further.
         """
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def sift(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             apart = np.bitwise_count(self.codes[q] ^ self.codes[node]).sum(1, dtype=np.int64)
+            order = np.lexsort((q, apart, node))
+            first = np.empty(len(q), bool)  # the nearest before its second
+            first[order] = np.concatenate([[True], node[order][1:] != node[order][:-1]])
             order = np.lexsort((node, apart, q))
-            q, node, apart = q[order], node[order], apart[order]
-            keep = np.arange(len(q)) - np.searchsorted(q, q) < nearest
+            q, node, apart, first = q[order], node[order], apart[order], first[order]
+            number = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = np.where(apart <= sure, (number == 0) | first, number < nearest)
             found.append((q[keep], node[keep]))
             keep &= apart <= sure
             return q[keep], node[keep]
@@ -224,7 +229,7 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = further
 
 
-def _forest(most: int, hold: int, sure: int | None = None, nearest: int = 16):
+def _forest(most: int, hold: int, sure: int | None = None, nearest: int = 8):
     """Rows (bucket, node, code), those of a bucket together: (a, b), b the smallest node linked to a; or near pairs, if ``sure`` is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,9 +389,8 @@ def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float
     most, sure = round(bits * p + 2 * math.sqrt(bits * p * (1 - p))), round(bits * share_apart((1 + similarity) / 2))
     n = nodes.count()
     schema = "bucket long, node long, code binary"
-    dealt = nodes.select("node", "code").mapInArrow(_deal(bucket_bits(bits, *table_plan(n, similarity, recall))), schema)
+    dealt = nodes.select("node", "code").mapInArrow(lambda b: given_back(_deal(bucket_bits(bits, *table_plan(n, similarity, recall)))(b)), schema)
     if n > hot_bucket:
-        dealt = written(dealt, "near-dealt")
         hot = written(dealt.groupBy("bucket").count().where(F.col("count") > hot_bucket), "near-hot")
         largest = hot.agg(F.max("count")).first()[0]
         if largest:
@@ -451,8 +455,8 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
     nodes = written(marked.groupBy("code").agg(F.min("key").alias("node")), "wide-nodes")
     same = marked.join(nodes, "code").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
     pairs = written(candidates(nodes, similarity=similarity, width=width, recall=recall, hot_bucket=hot_bucket).unionAll(same), "near-pairs")
-    one = beside_texts(rows, pairs.select(F.col("a").alias("w"), F.struct("a", "b").alias("l")), per_list, "near-one").mapInArrow(lambda b: given_back(_with_text(b)), "a long, b long, text string")
-    both = beside_texts(rows, one.select(F.col("b").alias("w"), F.struct("a", "b", "text").alias("l")), per_list, "near-both")
+    one = beside_texts(rows, pairs.select(F.col("a").alias("w"), F.struct("a", "b").alias("l")), per_list, "near-one", few=True).mapInArrow(lambda b: given_back(_with_text(b)), "a long, b long, text string")
+    both = beside_texts(rows, one.select(F.col("b").alias("w"), F.struct("a", "b", "text").alias("l")), per_list, "near-both", few=True)
     edges = both.mapInArrow(lambda b: given_back(_links(shingle, similarity)(b)), "a long, b long")
     labels = components(edges)
     return rows.select("doc_id", F.col("d").alias("key")).join(labels, F.col("key") == labels["node"], "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
@@ -462,8 +466,9 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """One document of each group of similar texts, with the columns of ``docs``: the smallest doc_id, of repeated ones one row."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = new_name(docs, "row_key")
-    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "near-rows")
+    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(key)), "near-rows", "zstd")
     groups = similar_groups(numbered, id_col=f"`{id_col}`", text_col=f"`{text_col}`", key_col=key, **options)
+    groups = written(groups, "near-groups")
     keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias(key))
-    keep = written(keep.select(key), "near-kept")
-    return numbered.join(keep.hint("merge"), key, "left_semi").select(*columns)  # the same plan at every size
+    gone = groups.select(F.col("key").alias(key)).join(keep.select(key), key, "left_anti")
+    return without(numbered, key, written(gone, "near-gone")).select(*columns)
