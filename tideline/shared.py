@@ -58,6 +58,22 @@ def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def written_paths() -> list[str]:
+    """All fresh paths of this process so far."""
+    return [path for _, path in _written]
+
+
+def paths_of(df: DataFrame) -> list[str]:
+    """The root folders of the files that a plan reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out += [roots.apply(i).toString() for i in range(roots.size())]
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
