@@ -136,6 +136,15 @@ def test_sets(spark):
     assert values(seq(spark, left, order=True) >> op.distinct_sorted()) == ["aa", "bb", "c", "xx"]
     with pytest.raises(UnorderedInput):
         seq(spark, left) >> op.distinct_sorted()
+    rng = random.Random(1)
+    many, less = ([rng.choice(["hot", "hot", "b", None, "c"]) for _ in range(n)] for n in (300, 120))
+    budget, want = {k: less.count(k) for k in set(less)}, []
+    for v in many:
+        if budget.get(v, 0):
+            budget[v] -= 1
+        else:
+            want.append(v)
+    assert values(seq(spark, many) >> op.diff(seq(spark, less))) == want
     half = sources.of_iota(spark, 1, 7) >> op.distinct_last_kept(lambda a, b: a["value"] // 2 == b["value"] // 2)
     assert values(half) == [1, 2, 4, 6]
     assert values(sources.of_iota(spark, 1, 7) >> op.distinct_adjacent(F.floor(F.col("value") / 2))) == [1, 2, 4, 6]
@@ -152,6 +161,10 @@ def test_hierarchy(spark):
     assert [r.node for r in found.orderBy(*op.deep_first(found)).collect()] == ["a.0", "a.0.0", "a.1", "b.0"]
     assert [r.node for r in found.orderBy(*op.breadth_first(found)).collect()] == ["a.0", "a.1", "b.0", "a.0.0"]
     assert op.descendants(roots.where("node = '1'"), edges).count() == 0
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
+    with pytest.raises(Exception, match="cycle"):
+        op.descendants(roots, loop)
+    assert op.descendants(roots.where("node = 'a'"), loop, max_levels=3).count() == 3
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "a int, b int")
     start = spark.createDataFrame([(1,)], "node int")
     assert sorted(r.node for r in op.reachable(start, ring).collect()) == [2, 3]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..flow import Flow, Step, UnorderedInput, stepwise
+from ..shared import written
 
 
 @stepwise
@@ -144,8 +145,8 @@ def on_error(value: Column, name: str, alternative: DataFrame, default: Column |
 
 @stepwise
 def repeater() -> Step:
-    """Materialise on the first pass and replay: the cache manager's."""
-    return lambda f: f.over(f.df.cache())
+    """Materialise once and replay: written to the shared folder, so that no executor's memory holds it."""
+    return lambda f: f.over(written(f.df, "replay"))
 
 
 @stepwise

@@ -17,15 +17,18 @@ def _materialised(df: DataFrame) -> DataFrame:
 def descendants(roots: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent", child: str = "child", max_levels: int | None = None) -> DataFrame:
     """All descendants with level (from 1) and path (nodes from the root on); roots are not given.
 
-    A node that can be reached in several ways comes once for each, as in a tree walk; a
-    cycle has no end, unless ``max_levels`` sets one.
+    A node that can be reached in several ways comes once for each, as in a tree walk.  A
+    cycle has no end and raises, unless ``max_levels`` sets one.
     """
     level = roots.select(F.col(node).alias("_node"), F.array(F.col(node)).alias("path"))
     e = edges.select(F.col(parent).alias("_parent"), F.col(child).alias("_child"))
     out, k = None, 0
     while max_levels is None or k < max_levels:
         k += 1
-        level = level.join(e, level["_node"] == e["_parent"]).select(F.col("_child").alias("_node"), F.concat("path", F.array("_child")).alias("path"))
+        further = F.concat("path", F.array("_child"))
+        if max_levels is None:
+            further = F.when(F.array_contains("path", F.col("_child")), F.raise_error(F.lit("the hierarchy has a cycle")).cast(level.schema["path"].dataType)).otherwise(further)
+        level = level.join(e, level["_node"] == e["_parent"]).select(F.col("_child").alias("_node"), further.alias("path"))
         level = _materialised(level)
         if level.isEmpty():
             break
@@ -52,10 +55,13 @@ def reachable(start: DataFrame, edges: DataFrame, node: str = "node", a: str = "
     e = _materialised(e.distinct())
     begun = start.select(F.col(node).alias("_n")).distinct()
     frontier = seen = _materialised(begun)
+    rounds = 0
     while True:
         nexts = e.join(frontier, e["_a"] == frontier["_n"], "left_semi").select(F.col("_b").alias("_n")).distinct()
         frontier = _materialised(nexts.join(seen, "_n", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % 8 == 0:  # one table again, not one for each round
+            seen = _materialised(seen)
     return seen.join(begun, "_n", "left_anti").select(F.col("_n").alias(node))

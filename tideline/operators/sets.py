@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..flow import Flow, Step, stepwise
+from ..flow import Flow, Step, in_ranges, stepwise
 from .elementwise import require_order
 
 
@@ -71,14 +72,21 @@ def diff(other: Flow, key: Sequence[Column] | None = None) -> Step:
         counts = other.df.select(*[k.alias(n) for k, n in zip(_element_key(other, key), names, strict=True)]).groupBy(*names).agg(F.count("*").alias("_n"))
         left = f.df.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)])
         counts = counts.select(*[F.col(n).alias(f"_o{n}") for n in names], "_n")
-        same = None
-        for n in names:
-            equal = F.col(n).eqNullSafe(F.col(f"_o{n}"))
-            same = equal if same is None else same & equal
-        joined = left.join(counts, same, "left")
-        number = F.row_number().over(Window.partitionBy(*names).orderBy(*f.pos))
-        df = joined.withColumn("_r", number).where(F.col("_r") > F.coalesce("_n", F.lit(0)))
-        return f.over(df.drop("_r", "_n", *names, *[f"_o{n}" for n in names]))
+
+        def same(suffix: str) -> Column:
+            return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{suffix}{n}")) for n in names])
+
+        # rows in ranges of the encounter order: a frequent element is numbered in many tasks, from the numbers before on
+        ranged, place = in_ranges(left.join(counts, same("o"), "left"), f.pos)
+        ranged = ranged.withColumn("_task", F.shiftright(place, 33).cast("int"))
+        others = ranged.where("_n is null")
+        some = ranged.where("_n is not null")
+        parts = some.groupBy("_task", *names).agg(F.count("*").alias("_m"))
+        before = parts.select(F.col("_task").alias("_btask"), *[F.col(n).alias(f"_b{n}") for n in names], (F.sum("_m").over(Window.partitionBy(*names).orderBy("_task")) - F.col("_m")).alias("_before"))
+        number = F.row_number().over(Window.partitionBy("_task", *names).orderBy(place))
+        kept = some.withColumn("_r", number).join(before, (F.col("_task") == F.col("_btask")) & same("b")).where(F.col("_r") + F.col("_before") > F.col("_n"))
+        columns = f.df.columns
+        return f.over(others.select(*columns).unionByName(kept.select(*columns)))
 
     return run
 
