@@ -183,6 +183,7 @@ def test_mix(spark, awkward, empty):
     assert all(abs(taken[s] - target[s]) <= 1 for s in target) and sum(taken.values()) == pytest.approx(1.5 * sum(size.values()), abs=4)
     again = mixing.mix(awkward.repartition(3), key_col="key").collect()
     assert {(r.key, r.taken) for r in rows if r.doc_id != 3} == {(r.key, r.taken) for r in again if r.doc_id != 3}
+    assert collections.Counter((r.doc_id, r.size, r.taken) for r in rows) == collections.Counter((r.doc_id, r.size, r.taken) for r in again)  # repeated rows too
     out = mixing.mixed(awkward)
     words = out.select(F.sum(mixing.words(F.col("text")))).first()[0]
     assert out.columns == awkward.columns and words == sum(taken.values())
