@@ -203,9 +203,8 @@ def repeat_twice(spark, sf_dir):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS pos, o_orderkey FROM orders")
 def sort_parallel(spark, sf_dir):
-    # what is sorted is numbered by its ranges: the sort is a promise, and no second one
-    f = flow(read(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], ["o_totalprice", "o_orderkey"])
-    return (f >> sort("o_totalprice")).ordinal().select("pos", "o_orderkey")
+    # numbering deals the rows to ranges of the same order, and Catalyst takes out the sort before it
+    return (orders(spark, sf_dir) >> sort("o_totalprice")).ordinal().select("pos", "o_orderkey")
 
 
 # ---- sets
