@@ -154,8 +154,8 @@ class GrayIndex:
     def near_pairs(self, most: int, sure: int, nearest: int, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of codes of a bucket with at most ``most`` differing bits: of each code the ``nearest`` after it.
 
-        Of pairs with ``sure`` or fewer bits those stay that are the nearest of one of the
-        two; codes that such pairs link, directly or by others, are told apart no further.
+        Of pairs with ``sure`` or fewer bits those stay that span what they link, a code's
+        nearest before it first; codes that they link are told apart no further.
         """
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -166,11 +166,18 @@ class GrayIndex:
             first[order] = np.concatenate([[True], node[order][1:] != node[order][:-1]])
             order = np.lexsort((node, apart, q))
             q, node, apart, first = q[order], node[order], apart[order], first[order]
-            number = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = np.where(apart <= sure, (number == 0) | first, number < nearest)
+            close = apart <= sure
+            linked = close & first
+            ids, place = np.unique(np.concatenate([q, node]), return_inverse=True)
+            a, b = place[: len(q)], place[len(q) :]
+            labels = _join(np.arange(len(ids)), a[linked], b[linked])
+            while len(rest := np.flatnonzero(close & (labels[a] != labels[b]))):  # what is still apart
+                more = rest[np.unique(np.maximum(labels[a], labels[b])[rest], return_index=True)[1]]
+                linked[more] = True
+                labels = _join(labels, a[more], b[more])
+            keep = linked | ~close & (np.arange(len(q)) - np.searchsorted(q, q) < nearest)
             found.append((q[keep], node[keep]))
-            keep &= apart <= sure
-            return q[keep], node[keep]
+            return q[linked], node[linked]
 
         self.links(most, chunk, sift)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
