@@ -145,6 +145,12 @@ def test_sets(spark):
         else:
             want.append(v)
     assert values(seq(spark, many) >> op.diff(seq(spark, less))) == want
+    walk = [rng.randint(0, 30) for _ in range(400)]
+    kept = [walk[0]]
+    for v in walk[1:]:
+        if abs(v - kept[-1]) > 9:
+            kept.append(v)
+    assert values(flow(seq(spark, walk, "int", True).df.repartition(5), "_pos", "value") >> op.distinct_last_kept(lambda x, y: abs(x["value"] - y["value"]) <= 9)) == kept
     half = sources.of_iota(spark, 1, 7) >> op.distinct_last_kept(lambda a, b: a["value"] // 2 == b["value"] // 2)
     assert values(half) == [1, 2, 4, 6]
     assert values(sources.of_iota(spark, 1, 7) >> op.distinct_adjacent(F.floor(F.col("value") / 2))) == [1, 2, 4, 6]

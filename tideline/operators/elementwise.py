@@ -35,7 +35,8 @@ def where(condition: Column) -> Step:
 def where_stateful(keep: Callable[[dict, int], bool | None]) -> Step:
     """``keep(row, emitted)``: the step counts rows that were let through, None ends the sequence.
 
-    Each decision needs the ones before: one ordered pass in one task.
+    Each decision needs the ones before: one ordered pass in one task.  What only counts is
+    better said by ``where`` and ``take``, or by ordinals.
     """
 
     def run(f: Flow) -> Flow:
@@ -56,6 +57,12 @@ def where_stateful(keep: Callable[[dict, int], bool | None]) -> Step:
     return run
 
 
+@stepwise
+def take(n: int) -> Step:
+    """The first n elements in encounter order: the n least of each task, then of all."""
+    return lambda f: f.over(f.df.orderBy(*f.pos).limit(n))
+
+
 @stepwise
 def take_while(condition: Column) -> Step:
     """The elements before the first that fails: one aggregate, no window; the trait is dropped."""

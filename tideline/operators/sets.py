@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, Window
@@ -144,23 +146,52 @@ def distinct_adjacent(form: Column) -> Step:
 def distinct_last_kept(equal: Callable[[dict, dict], bool]) -> Step:
     """Each element is compared with the last one *kept*; for relations that are not transitive.
 
-    Every decision needs the one before: one ordered pass in one task.
+    The ranges of the encounter order are walked side by side, at first as if nothing had
+    been kept before; then again from what the range before has kept last, until that is
+    the same as in the walk before.  Most relations fall into step within a range, and
+    need two walks; at worst there are as many as ranges.
     """
 
     def run(f: Flow) -> Flow:
-        def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last = None
+        columns = f.df.columns
+        ranged, place = in_ranges(require_order(f).df, f.pos)
+        dealt = ranged.withColumn("_task", F.shiftright(place, 33).cast("int")).repartition("_task").sortWithinPartitions("_task", place)
+
+        def walk(frames: Iterator[pd.DataFrame], carry: dict[int, dict]) -> Iterator[tuple[int, pd.DataFrame, list[bool], dict | None]]:
+            """(task, rows of it, which stay, the last kept so far) of each stretch."""
+            task, last = None, None
             for frame in frames:
-                mask = []
-                for row in frame.to_dict("records"):
-                    keep = last is None or not equal(last, row)
-                    if keep:
-                        last = row
-                    mask.append(keep)
-                yield frame[pd.Series(mask, index=frame.index, dtype=bool)]
-
-        df = require_order(f).df.repartition(1).sortWithinPartitions(*f.pos)
-        return f.over(df.mapInPandas(fold, df.schema))
+                for number, part in frame.groupby("_task", sort=True):
+                    if number != task:
+                        task, last = number, carry.get(number)
+                    part, mask = part[columns], []
+                    for row in part.to_dict("records"):
+                        keep = last is None or not equal(last, row)
+                        if keep:
+                            last = row
+                        mask.append(keep)
+                    yield int(task), part, mask, last
+
+        def ends(carry: dict[int, dict]) -> dict[int, bytes]:
+            def last_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                found = {task: last for task, _, _, last in walk(frames, carry)}
+                yield pd.DataFrame({"task": list(found), "last": [pickle.dumps(v) for v in found.values()]})
+
+            return {r.task: r.last for r in dealt.mapInPandas(last_of, "task int, last binary").collect()}  # a row per task
+
+        carry, before = {}, None
+        while True:
+            found = ends(carry)
+            if found == before:
+                break
+            before, tasks = found, sorted(found)
+            carry = {t: pickle.loads(found[u]) for u, t in pairwise(tasks)}
+
+        def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _, part, mask, _ in walk(frames, carry):
+                yield part[pd.Series(mask, index=part.index, dtype=bool)]
+
+        return f.over(dealt.mapInPandas(kept, f.df.schema))
 
     return run
 

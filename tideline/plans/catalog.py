@@ -17,7 +17,7 @@ from ..functions import aggregates as agg
 from ..functions import bits, intervals, strings
 from ..operators import (
     auto_diff, auto_join, cartesian, descendants, diff, distinct_adjacent, distinct_auto, distinct_first, distinct_last_kept, flat_mapping, maf, mapping, minibatch, on_error, or_default, ordered_join,
-    ordering_flat_mapping, overlap_join, prefix_join, reachable, repeater, sort, take_while, union_all, union_merge, unordered_join, where, where_stateful, zip_longest, zip_short,
+    ordering_flat_mapping, overlap_join, prefix_join, reachable, repeater, sort, take, take_while, union_all, union_merge, unordered_join, where, where_stateful, zip_longest, zip_short,
 )
 from ..shared import new_path
 from .kv import KeyValues
@@ -151,6 +151,11 @@ def filter_stateful(spark, sf_dir):
     return (keyed(spark, sf_dir, "nation", "n_nationkey") >> where_stateful(keep)).df.select("n_nationkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 20")
+def take_first(spark, sf_dir):
+    return (orders(spark, sf_dir) >> where(F.col("o_orderstatus") == "P") >> take(20)).df.select("o_orderkey")
+
+
 @query("SELECT o_orderkey AS k, CAST(o_custkey * 2 AS BIGINT) AS v FROM orders WHERE o_totalprice > 100000")
 def maf_keep(spark, sf_dir):
     return (orders(spark, sf_dir) >> maf(F.col("o_totalprice") > 100000, F.col("o_orderkey").alias("k"), (F.col("o_custkey") * 2).alias("v"))).element()
