@@ -49,7 +49,7 @@ def re_pair(ids: np.ndarray, begins: np.ndarray, first_symbol: int, min_count: i
     """
     seq, firsts = ids.astype(np.uint32), np.flatnonzero(begins)
     lefts, rights, made = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], 0
-    bits = max(10, min(20, len(seq).bit_length()))
+    bits = max(10, min(18, len(seq).bit_length()))
     factor = 0x9E3779B1
     while len(seq) > 1:
         factor = (factor * 0x2C1B3C6D + 0x12) & 0xFFFFFFFF | 1
@@ -58,7 +58,7 @@ def re_pair(ids: np.ndarray, begins: np.ndarray, first_symbol: int, min_count: i
         cell[firsts[firsts > 0] - 1] = 1 << bits  # pairs over the edge of two documents
         counts = np.bincount(cell, minlength=(1 << bits) + 1)
         counts[-1] = 0
-        where = np.flatnonzero((counts >= min_count)[cell])
+        where = np.flatnonzero(np.take(counts >= min_count, cell))
         pair = seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]
         ordered = np.sort(pair)
         begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
@@ -94,27 +94,24 @@ def re_pair(ids: np.ndarray, begins: np.ndarray, first_symbol: int, min_count: i
 def _without_overlap(where: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the ascending places to replace: of two that overlap the one of lower rank, of a run of one rank every other."""
     n = len(where)
-    touch = np.concatenate([[False], where[1:] == where[:-1] + 1])  # overlaps the one before
-    run = touch & np.concatenate([[False], rank[1:] == rank[:-1]])
-    place = np.arange(n)
-    offset = place - np.maximum.accumulate(np.where(run, 0, place))
-    order = 2 * rank.astype(np.int64) + offset % 2
-    taken = ~touch & ~np.append(touch[1:], False)
+    touch = np.zeros(n + 1, bool)  # overlaps the one before
+    touch[1:-1] = where[1:] == where[:-1] + 1
+    taken = ~(touch[:-1] | touch[1:])
     open_ = np.flatnonzero(~taken)
-    none = np.int64(2**62)
+    run = touch[open_] & (rank[open_] == rank[open_ - 1])
+    place = np.arange(len(open_))
+    none = np.int32(2**31 - 1)
+    value = np.full(n + 2, none, np.int32)  # of what is still open; those of the ends are none
+    value[open_ + 1] = 2 * rank[open_] + (place - np.maximum.accumulate(np.where(run, 0, place))) % 2
     while len(open_):
-        value = np.full(n + 2, none)
-        value[open_ + 1] = order[open_]
-        left = np.where(touch[open_], value[open_], none)
-        right = np.where(np.append(touch, False)[open_ + 1], value[open_ + 2], none)
-        best = open_[(order[open_] < left) & (order[open_] < right)]
-        taken[best] = True
-        out = np.zeros(n + 2, bool)
-        out[best + 1] = True
-        after, before = best[np.append(touch, False)[best + 1]], best[touch[best]]
-        out[after + 2] = True
-        out[before] = True
-        open_ = open_[~out[open_ + 1]]
+        own = value[open_ + 1]
+        before, after = touch[open_], touch[open_ + 1]
+        best = (~before | (own < value[open_])) & (~after | (own < value[open_ + 2]))
+        taken[open_[best]] = True
+        value[open_[best] + 1] = none
+        value[open_[best & after] + 2] = none
+        value[open_[best & before]] = none
+        open_ = open_[value[open_ + 1] != none]
     return taken
 
 

@@ -22,13 +22,14 @@ import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only hold more memory
-from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 #: letters, digits and white space below U+0180, whose classes all versions of Unicode share
 _L, _N, _W = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
@@ -41,6 +42,17 @@ _DROPS_SPACE = re.compile(f"\0|{_CONTRACTIONS}[{_L}]+|[{_N}]|[^\0{_W}{_L}{_N}]+"
 MAX_BYTES, MAX_KEY = 64 << 20, 64
 _ENTRY = 180  # bytes of a word in a table besides its characters and ids
 
+_id = attrgetter("id")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level model: itself where it can be seen, else one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -106,9 +118,8 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class WordEncoder:
     def __init__(self, path: str, max_bytes: int = MAX_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
-        #: the same model for what is a single word in normal form already
-        self.merger = Tokenizer(self.tokenizer.model)
-        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
+        #: for what is a single word in normal form already
+        self.model = self.tokenizer.model
         with open(path) as f:
             spec = json.load(f)
         #: whether white space is dropped and never part of a token
@@ -122,10 +133,15 @@ class WordEncoder:
         self.ids.append(np.zeros(0), np.zeros(1))
 
     def _library(self, texts: list[str], words: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        tokenizer, flat, counts = (self.merger if words else self.tokenizer), [], []
+        flat, counts = [], []
         for at in range(0, len(texts), 1024):  # what the library gives back is large
-            found = [e.ids for e in tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False)]
-            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            part = texts[at : at + 1024]
+            if words:
+                found = list(map(self.model.tokenize, "\0".join(part).encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[0])))
+                flat.append(np.fromiter(map(_id, chain.from_iterable(found)), np.uint32))
+            else:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
             counts += map(len, found)
         return np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.array(counts, np.int64)
 
