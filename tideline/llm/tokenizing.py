@@ -155,11 +155,13 @@ class WordEncoder:
             if collecting:
                 gc.enable()
 
-    def _pieces(self, pieces: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, array: pa.Array, space: str) -> tuple[np.ndarray, np.ndarray]:
         """The words of pieces as rows of ``ids``, and their numbers."""
-        joined = f"\0{space}".join(pieces)
-        odd = {}
+        # joined in Arrow: a string for each piece would cost more than all that follows
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array), f"\0{space}")[0].as_py()
+        pieces, odd = array, {}
         if not joined.isascii() and _UNSETTLED.search(joined.replace("\0", " ")) or "<|" in joined or joined.count("\0") >= len(pieces):
+            pieces = array.to_pylist()
             odd = {k: space + p for k, p in enumerate(pieces) if "\0" in p or _UNSETTLED.search(p)}
             joined = f"\0{space}".join("" if k in odd else p for k, p in enumerate(pieces))
         joined = f"{space}{joined}\0"
@@ -223,14 +225,14 @@ class WordEncoder:
         at = coded.indices.to_numpy()
         rows, n_words = [], []
         for k in range(0, len(coded.dictionary), 1 << 14):
-            index, n = self._pieces(coded.dictionary[k : k + (1 << 14)].to_pylist(), "" if self.drops_space else " ")
+            index, n = self._pieces(coded.dictionary[k : k + (1 << 14)], "" if self.drops_space else " ")
             rows.append(index)
             n_words.append(n)
         if not self.drops_space and len(texts):
             heads = np.cumsum(counts) - counts
             at = at.astype(np.int64)
             at[heads] = len(coded.dictionary) + np.arange(len(heads))
-            index, n = self._pieces(pieces.take(pa.array(heads)).to_pylist(), "")
+            index, n = self._pieces(pieces.take(pa.array(heads)), "")
             rows.append(index)
             n_words.append(n)
         kept = len(self.ids)  # what follows is forgotten with this batch
