@@ -151,11 +151,13 @@ class GrayIndex:
                     labels = _join(labels, *(sift(*pairs) if sift else pairs))
         return labels
 
-    def near_pairs(self, most: int, sure: int, nearest: int, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def near_pairs(self, most: int, sure: int, nearest: int, places: np.ndarray | None = None, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of codes of a bucket with at most ``most`` differing bits: of each code the ``nearest`` after it.
 
         Of pairs with ``sure`` or fewer bits those stay that span what they link, a code's
-        nearest before it first; codes that they link are told apart no further.
+        nearest before it first; codes that they link are told apart no further.  With ``places``, the
+        bits of each table's key, a pair is given in the first table that it shares alone: in
+        the others it is known to be linked, or left, there.
         """
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -166,8 +168,13 @@ class GrayIndex:
             first[order] = np.concatenate([[True], node[order][1:] != node[order][:-1]])
             order = np.lexsort((node, apart, q))
             q, node, apart, first = q[order], node[order], apart[order], first[order]
+            fresh = np.ones(len(q), bool)
+            for at in range(0, len(q) if places is not None else 0, 4096):
+                x = (self.codes[q[at : at + 4096]] ^ self.codes[node[at : at + 4096]]).astype(">u8").view(np.uint8)
+                differ = np.unpackbits(x.reshape(-1, 8 * self.codes.shape[1]), axis=1)[:, places].any(2)
+                fresh[at : at + 4096] = differ.argmin(1) == self.buckets[q[at : at + 4096]] >> places.shape[1]
             close = apart <= sure
-            linked = close & first
+            linked = close & (first | ~fresh)
             ids, place = np.unique(np.concatenate([q, node]), return_inverse=True)
             a, b = place[: len(q)], place[len(q) :]
             labels = _join(np.arange(len(ids)), a[linked], b[linked])
@@ -175,7 +182,10 @@ class GrayIndex:
                 more = rest[np.unique(np.maximum(labels[a], labels[b])[rest], return_index=True)[1]]
                 linked[more] = True
                 labels = _join(labels, a[more], b[more])
-            keep = linked | ~close & (np.arange(len(q)) - np.searchsorted(q, q) < nearest)
+            other = np.flatnonzero(~close & fresh)
+            other = other[np.arange(len(other)) - np.searchsorted(q[other], q[other]) < nearest]
+            keep = linked & fresh
+            keep[other] = True
             found.append((q[keep], node[keep]))
             return q[linked], node[linked]
 
@@ -236,14 +246,14 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = further
 
 
-def _forest(most: int, hold: int, sure: int | None = None, nearest: int = 8):
+def _forest(most: int, hold: int, sure: int | None = None, places: np.ndarray | None = None, nearest: int = 8):
     """Rows (bucket, node, code), those of a bucket together: (a, b), b the smallest node linked to a; or near pairs, if ``sure`` is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(buckets: np.ndarray, nodes: np.ndarray, codes: np.ndarray):
             index = GrayIndex(codes, buckets)
             if sure is not None:
-                a, b = (nodes[index.order][x] for x in index.near_pairs(most, sure, nearest))
+                a, b = (nodes[index.order][x] for x in index.near_pairs(most, sure, nearest, places))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
                 return
@@ -396,18 +406,20 @@ def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float
     most, sure = round(bits * p + 2 * math.sqrt(bits * p * (1 - p))), round(bits * share_apart((1 + similarity) / 2))
     n = nodes.count()
     schema = "bucket long, node long, code binary"
-    dealt = nodes.select("node", "code").mapInArrow(lambda b: given_back(_deal(bucket_bits(bits, *table_plan(n, similarity, recall)))(b)), schema)
+    places = bucket_bits(bits, *table_plan(n, similarity, recall))
+    dealt = nodes.select("node", "code").mapInArrow(lambda b, places=places: given_back(_deal(places)(b)), schema)
     if n > hot_bucket:
         hot = written(dealt.groupBy("bucket").count().where(F.col("count") > hot_bucket), "near-hot")
         largest = hot.agg(F.max("count")).first()[0]
         if largest:
+            places = None  # in a part of a bucket not all its pairs meet
             marked = dealt.join(hot.select("bucket", F.lit(True).alias("hot")), "bucket", "left")
             # within a hot bucket most codes are alike: the further keys are as wide as its size asks for
             inner = bucket_bits(bits, *table_plan(largest, (1 + similarity) / 2, recall))
             parts = marked.where("hot").select("bucket", "node", "code").mapInArrow(_deal(np.random.default_rng(65).permutation(bits)[inner]), schema)
             dealt = marked.where("hot is null").select("bucket", "node", "code").unionAll(parts)
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda b: given_back(_forest(most, hold, sure)(b)), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda b: given_back(_forest(most, hold, sure, places)(b)), "a long, b long").distinct()
 
 
 def jaccard(a: bytes, b: bytes, shingle: int) -> float:
