@@ -336,6 +336,28 @@ def test_passages_against_brute_force(spark, all_pairs):
     assert len({a for a, _ in found} & alone) <= 0.05 * len(alone)  # gaps and rounding make some more
 
 
+def test_passages_of_near_copies_meet_directly(spark):
+    """No link is left to a representative, whatever the size of a class; a text full of one seed stays linear in its repeats."""
+    rng = np.random.default_rng(11)
+    family = rng.integers(100, 10**6, 80)
+    docs = [np.where(rng.random(80) < 0.04, rng.integers(100, 10**6, 80), family) for _ in range(25)]
+    rows = [(k, " ".join(map(str, d))) for k, d in enumerate(docs)] + [(100, "la " * 3_000), (101, "la " * 2_900 + "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {(r.doc_id, r.other_id) for r in chain_dedup.fuzzy_passages(df, chunk_bytes=4_000).collect()}
+    wanted = {(a, b) for a in range(25) for b in range(25) if a != b and passages_by_force(docs[a], docs[b])}
+    assert len(wanted) == 600 and wanted <= found
+    assert {(100, 101), (101, 100)} <= found
+
+
+def test_pairs_within():
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(1, 30, 40)
+    begins = np.cumsum(sizes) - sizes
+    for at_once in (1, 7, 50, 1 << 18):
+        got = [p for i, j in chain_dedup.pairs_within(begins, sizes, at_once) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == {(b + i, b + j) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True) for i in range(n) for j in range(i)}
+
+
 def test_common_words():
     rng = random.Random(10)
     for _ in range(50):
