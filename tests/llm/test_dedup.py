@@ -177,6 +177,24 @@ def test_similar_groups_against_brute_force(spark, hot_bucket):
     assert [simhash.jaccard(texts[a].encode(), texts[b].encode(), 5) >= 0.8 for a, b in links] == [True] * len(links)
 
 
+@pytest.mark.parametrize("hot_bucket", [20_000, 6])
+def test_candidates_of_two_groups_are_whole(spark, hot_bucket):
+    """60 codes of which all are far candidates: more than a cap of the nearest would leave, and in buckets that are dealt in parts."""
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 2, 256)
+    bits = np.array([np.where(rng.random(256) < 0.08, 1 - base, base) for _ in range(60)])
+    codes = [np.packbits(b).tobytes() for b in bits]
+    places = simhash.bucket_bits(256, *simhash.table_plan(60, 0.8, 0.98))
+    share = lambda i, j: (bits[i][places] == bits[j][places]).all(1).any()
+    wanted = {(j, i) for i, j in itertools.combinations(range(60), 2) if (bits[i] != bits[j]).sum() <= 50 and i % 5 != j % 5 and share(i, j)}
+    assert max(collections.Counter(a for a, _ in wanted).values()) > 20
+    options = {"similarity": 0.8, "width": 4, "recall": 0.98, "hot_bucket": hot_bucket}
+    nodes = spark.createDataFrame([(k, bytearray(c), k % 5) for k, c in enumerate(codes)], "node long, code binary, root long")
+    assert {(r.a, r.b) for r in simhash.candidates(nodes, **options).collect()} == wanted
+    first = simhash.candidates(nodes.drop("root"), **options).collect()
+    assert {n for p in wanted for n in p} <= {n for r in first for n in r}  # none is left out unnoticed
+
+
 # ---- suffixes
 
 

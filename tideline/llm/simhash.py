@@ -123,14 +123,14 @@ class GrayIndex:
     def _apart(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return np.bitwise_count((a ^ b) & mask).sum(1, dtype=np.int32)
 
-    def links(self, most: int, chunk: int | None = None, sift: Callable | None = None) -> np.ndarray:
+    def links(self, most: int, chunk: int | None = None, sift: Callable | None = None, labels: np.ndarray | None = None) -> np.ndarray:
         """A label for each code: equal for codes of a bucket that are linked directly or by others.
 
-        ``sift`` picks of the pairs found those that link.
+        ``sift`` picks of the pairs found those that link; codes of one of the ``labels`` are linked already.
         """
         n = len(self.codes)
         chunk = chunk or (1 << 17) // self.codes.shape[1]  # ways down at once; memory grows with the width
-        labels = np.arange(n)
+        labels = np.arange(n) if labels is None else labels
         level = np.zeros(n, np.int64)
         while True:  # begin where a bucket spans a few nodes
             large = (self.sizes >> (3 * level)) > FAN
@@ -151,9 +151,11 @@ class GrayIndex:
                     labels = _join(labels, *(sift(*pairs) if sift else pairs))
         return labels
 
-    def near_pairs(self, most: int, sure: int, nearest: int, places: np.ndarray | None = None, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def near_pairs(self, most: int, sure: int, nearest: int | None, places: np.ndarray | None = None, chunk: int | None = None, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of codes of a bucket with at most ``most`` differing bits: of each code the ``nearest`` after it.
 
+        A code of which a pair is left out for that is paired with itself; with None there
+        are none.  Pairs with equal ``labels``, numbers of 0 or more, are not looked for.
         Of pairs with ``sure`` or fewer bits those stay that span what they link, a code's
         nearest before it first; codes that they link are told apart no further.  With ``places``, the
         bits of each table's key, a pair is given in the first table that it shares alone: in
@@ -183,13 +185,17 @@ class GrayIndex:
                 linked[more] = True
                 labels = _join(labels, a[more], b[more])
             other = np.flatnonzero(~close & fresh)
-            other = other[np.arange(len(other)) - np.searchsorted(q[other], q[other]) < nearest]
+            if nearest is not None:
+                near = np.arange(len(other)) - np.searchsorted(q[other], q[other]) < nearest
+                left = np.unique(np.concatenate([q[other[~near]], node[other[~near]]]))
+                found.append((left, left))
+                other = other[near]
             keep = linked & fresh
             keep[other] = True
             found.append((q[keep], node[keep]))
             return q[linked], node[linked]
 
-        self.links(most, chunk, sift)
+        self.links(most, chunk, sift, labels)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
     def _uniform(self, labels: np.ndarray) -> list[np.ndarray]:
@@ -246,14 +252,18 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = further
 
 
-def _forest(most: int, hold: int, sure: int | None = None, places: np.ndarray | None = None, nearest: int = 8):
-    """Rows (bucket, node, code), those of a bucket together: (a, b), b the smallest node linked to a; or near pairs, if ``sure`` is there."""
+def _forest(most: int, hold: int, sure: int | None = None, places: np.ndarray | None = None, nearest: int | None = 8):
+    """Rows (bucket, node, code), those of a bucket together: (a, b), b the smallest node linked to a; or near pairs, if ``sure`` is there.
+
+    Rows may have a root as well: near pairs are those of two roots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(buckets: np.ndarray, nodes: np.ndarray, codes: np.ndarray):
+        def solve(buckets: np.ndarray, nodes: np.ndarray, codes: np.ndarray, *roots: np.ndarray):
             index = GrayIndex(codes, buckets)
             if sure is not None:
-                a, b = (nodes[index.order][x] for x in index.near_pairs(most, sure, nearest, places))
+                labels = np.unique(roots[0][index.order], return_inverse=True)[1] if roots else None
+                a, b = (nodes[index.order][x] for x in index.near_pairs(most, sure, nearest, places, labels=labels))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
                 return
@@ -270,15 +280,15 @@ def _forest(most: int, hold: int, sure: int | None = None, places: np.ndarray |
         for batch in batches:
             b, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             c = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(len(b), -1)
-            held.append((b, n, c))
+            held.append((b, n, c, *(x.to_numpy() for x in batch.columns[3:])))
             size += len(b)
             if size >= hold:
-                b, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
-                others = np.flatnonzero(b != b[-1])
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                others = np.flatnonzero(whole[0] != whole[0][-1])
                 cut = int(others[-1]) + 1 if len(others) else 0  # where the last bucket begins
                 if cut:
-                    yield from solve(b[:cut], n[:cut], c[:cut])
-                held, size = [(b[cut:], n[cut:], c[cut:])], len(b) - cut
+                    yield from solve(*(x[:cut] for x in whole))
+                held, size = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
         if size:
             yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -375,7 +385,7 @@ def bucket_bits(bits: int, tables: int, key_bits: int) -> np.ndarray:
 
 
 def _deal(places: np.ndarray):
-    """Rows (node, code): each in the bucket of each table; rows (bucket, node, code): each in parts of its bucket, by further tables."""
+    """Rows (node, code): each in the bucket of each table; rows (bucket, node, code): each in parts of its bucket, by further tables.  Other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, key_bits = places.shape
@@ -389,37 +399,53 @@ def _deal(places: np.ndarray):
                     before = part.column("bucket").to_numpy().view(np.uint64)
                     keys = (keys + before[:, None] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column("node").take(rows), part.column("code").take(rows)], ["bucket", "node", "code"])
+                others = [c for c in part.schema.names if c != "bucket"]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(part.column(c).take(rows) for c in others)], ["bucket", *others])
 
     return run
 
 
-def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float, hot_bucket: int, hold: int = 100_000) -> DataFrame:
+def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float, hot_bucket: int, hold: int = 100_000, codes: int | None = None) -> DataFrame:
     """Pairs (a, b), a > b, of nodes (node, code) that may have that similarity.
 
     Codes that differ in up to two standard deviations more bits than expected are
     candidates if they share a key in one of the tables.  The keys' width grows with the
-    number of codes; buckets of more than ``hot_bucket`` are split by the keys of further
-    tables, made for as many codes as there are.
+    number of codes (``codes``, or the number of nodes).
+
+    Without a root some are left out: those that others span, those with many nearer ones,
+    and, as buckets of more than ``hot_bucket`` are split by the keys of further tables,
+    made for as many codes as there are, some of such buckets.  Every node that something is
+    left out of is in a pair, be it with itself.  Of nodes (node, code, root) all pairs of
+    two roots are given: a hot bucket is dealt in parts, and each part meets each.
     """
     bits, p = 64 * width, share_apart(similarity)
     most, sure = round(bits * p + 2 * math.sqrt(bits * p * (1 - p))), round(bits * share_apart((1 + similarity) / 2))
-    n = nodes.count()
-    schema = "bucket long, node long, code binary"
-    places = bucket_bits(bits, *table_plan(n, similarity, recall))
-    dealt = nodes.select("node", "code").mapInArrow(lambda b, places=places: given_back(_deal(places)(b)), schema)
+    n, whole = nodes.count(), "root" in nodes.columns
+    names = ["node", "code", *(["root"] if whole else [])]
+    schema = "bucket long, node long, code binary" + (", root long" if whole else "")
+    places = bucket_bits(bits, *table_plan(codes or n, similarity, recall))
+    dealt = nodes.select(*names).mapInArrow(lambda b, places=places: given_back(_deal(places)(b)), schema)
+    open_ = None
     if n > hot_bucket:
         hot = written(dealt.groupBy("bucket").count().where(F.col("count") > hot_bucket), "near-hot")
         largest = hot.agg(F.max("count")).first()[0]
         if largest:
-            places = None  # in a part of a bucket not all its pairs meet
-            marked = dealt.join(hot.select("bucket", F.lit(True).alias("hot")), "bucket", "left")
-            # within a hot bucket most codes are alike: the further keys are as wide as its size asks for
-            inner = bucket_bits(bits, *table_plan(largest, (1 + similarity) / 2, recall))
-            parts = marked.where("hot").select("bucket", "node", "code").mapInArrow(_deal(np.random.default_rng(65).permutation(bits)[inner]), schema)
-            dealt = marked.where("hot is null").select("bucket", "node", "code").unionAll(parts)
+            places = None  # in a part of a bucket not all its pairs meet, or some meet twice
+            marked = dealt.join(hot.select("bucket", F.ceil(2 * F.col("count") / hot_bucket).cast("int").alias("hot")), "bucket", "left")
+            if whole:
+                own = F.pmod(F.xxhash64("node"), F.col("hot")).cast("int")
+                cells = F.transform(F.sequence(F.lit(0), F.col("hot") - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
+                parts = marked.where("hot is not null").select(F.explode(cells).alias("bucket"), *names)
+            else:
+                # within a hot bucket most codes are alike: the further keys are as wide as its size asks for
+                inner = bucket_bits(bits, *table_plan(largest, (1 + similarity) / 2, recall))
+                parts = marked.where("hot is not null").select("bucket", *names).mapInArrow(_deal(np.random.default_rng(65).permutation(bits)[inner]), schema)
+                open_ = marked.where("hot is not null").select(F.col("node").alias("a"), F.col("node").alias("b"))
+            dealt = marked.where("hot is null").select("bucket", *names).unionAll(parts)
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda b: given_back(_forest(most, hold, sure, places)(b)), "a long, b long").distinct()
+    sure, nearest = (-1, None) if whole else (sure, 8)
+    pairs = dealt.mapInArrow(lambda b: given_back(_forest(most, hold, sure, places, nearest)(b)), "a long, b long")
+    return (pairs.unionAll(open_) if open_ is not None else pairs).distinct()
 
 
 def jaccard(a: bytes, b: bytes, shingle: int) -> float:
@@ -460,24 +486,40 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
     """doc_id, key (unique, that of ``key_col``) and root (equal in a group) of every document.
 
     Candidates come from fingerprints of ``64 * width`` bits, in which each shingle counts
-    once (see ``candidates``); documents with one fingerprint are candidates with one of
-    them.  What links is the texts' own similarity: shared shingles by all shingles.
+    once (see ``candidates``); documents with one fingerprint are candidates.  What links
+    is the texts' own similarity: shared shingles by all shingles.  First candidates are
+    compared that span what seems alike, then all others that are in two groups still.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [wide_fingerprint(t.as_py() or b"", shingle, width, once=True).astype(">u8").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["key", "code"])
+            texts = [t.as_py() or b"" for t in batch.column(1)]
+            codes = [wide_fingerprint(t, shingle, width, once=True).astype(">u8").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(map(xxhash.xxh3_128_digest, texts), pa.binary())], ["key", "code", "digest"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key_col).alias("d"), F.col(text_col).alias("text"))
-    marked = written(rows.select("d", F.col("text").cast("binary")).mapInArrow(lambda b: given_back(mark(b)), "key long, code binary"), "wide-codes")
+    marked = written(rows.select("d", F.col("text").cast("binary")).mapInArrow(lambda b: given_back(mark(b)), "key long, code binary, digest binary"), "wide-codes")
     nodes = written(marked.groupBy("code").agg(F.min("key").alias("node")), "wide-nodes")
     same = marked.join(nodes, "code").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    pairs = written(candidates(nodes, similarity=similarity, width=width, recall=recall, hot_bucket=hot_bucket).unionAll(same), "near-pairs")
-    one = beside_texts(rows, pairs.select(F.col("a").alias("w"), F.struct("a", "b").alias("l")), per_list, "near-one", few=True).mapInArrow(lambda b: given_back(_with_text(b)), "a long, b long, text string")
-    both = beside_texts(rows, one.select(F.col("b").alias("w"), F.struct("a", "b", "text").alias("l")), per_list, "near-both", few=True)
-    edges = both.mapInArrow(lambda b: given_back(_links(shingle, similarity)(b)), "a long, b long")
-    labels = components(edges)
+    options = {"similarity": similarity, "width": width, "recall": recall, "hot_bucket": hot_bucket}
+    first = written(candidates(nodes, **options).unionAll(same), "near-first")
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        one = beside_texts(rows, pairs.select(F.col("a").alias("w"), F.struct("a", "b").alias("l")), per_list, f"{name}-one", few=True).mapInArrow(lambda b: given_back(_with_text(b)), "a long, b long, text string")
+        both = beside_texts(rows, one.select(F.col("b").alias("w"), F.struct("a", "b", "text").alias("l")), per_list, f"{name}-both", few=True)
+        return both.mapInArrow(lambda b: given_back(_links(shingle, similarity)(b)), "a long, b long")
+
+    labels = components(similar(first.where("a <> b"), "near"))
+    # what was left out: all candidates that are in two groups now
+    asked = first.select(F.col("a").alias("key")).unionAll(first.select(F.col("b").alias("key"))).distinct()
+    asked = asked.join(marked, "key").select("code").distinct()
+    found = marked.join(asked, "code").join(labels, F.col("key") == labels["node"], "left").select("key", "code", "digest", F.coalesce("root", "key").alias("root"))
+    found = found.groupBy("code", "root", "digest").agg(F.min("key").alias("node"))  # of equal texts one asks
+    found = written(found.select("node", "code", "root"), "near-open")
+    rest = written(candidates(found, **options, codes=nodes.count()).join(first, ["a", "b"], "left_anti"), "near-rest")
+    if not rest.isEmpty():
+        stars = labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        labels = components(similar(rest, "near-more").unionAll(stars))
     return rows.select("doc_id", F.col("d").alias("key")).join(labels, F.col("key") == labels["node"], "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
