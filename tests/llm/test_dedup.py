@@ -195,6 +195,60 @@ def test_candidates_of_two_groups_are_whole(spark, hot_bucket):
     assert {n for p in wanted for n in p} <= {n for r in first for n in r}  # none is left out unnoticed
 
 
+def look_alikes(rng, families, size, words=100, changes=(2, 4)):
+    """Texts of families, whose members differ from a base in a few words: some are similar, most only look alike."""
+    new = lambda: str(rng.randint(0, 10**6))
+    out = []
+    for _ in range(families):
+        base = [new() for _ in range(words)]
+        for _ in range(size):
+            text = list(base)
+            for at in rng.sample(range(words), rng.randint(*changes)):
+                text[at] = new()
+            out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize(("hold", "hot_bucket"), [(16 << 20, 20_000), (3_000, 20_000), (16 << 20, 12)])
+def test_linked_roots_against_brute_force(spark, hold, hot_bucket):
+    """All candidates of two roots are compared, also where a bucket is dealt in parts."""
+    texts = look_alikes(random.Random(14), 3, 40, changes=(0, 4))
+    roots = [k - k % 3 for k in range(len(texts))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "d long, text string").repartition(3)
+    codes = [bytearray(simhash.wide_fingerprint(t.encode(), 5, 4, once=True).astype(">u8").tobytes()) for t in texts]
+    nodes = spark.createDataFrame([(k, c, r) for k, (c, r) in enumerate(zip(codes, roots, strict=True))], "node long, code binary, root long")
+    options = {"similarity": 0.8, "width": 4, "recall": 0.98, "hot_bucket": hot_bucket, "codes": len(texts)}
+    pairs = [(r.a, r.b) for r in simhash.candidates(nodes, **options).collect()]
+    links = {(roots[a], roots[b]) for a, b in pairs if simhash.jaccard(texts[a].encode(), texts[b].encode(), 5) >= 0.8}
+    found = [(r.a, r.b) for r in simhash.linked_roots(nodes, rows, shingle=5, hold=hold, **options).collect()]
+    assert links and len(pairs) > 2 * len(links)
+
+    def groups(links):
+        group = list(range(len(texts)))
+        for a, b in links:
+            group = [group[a] if g == group[b] else g for g in group]
+        return {frozenset(k for k, h in enumerate(group) if h == g) for g in group}
+
+    assert groups(found) == groups(links)
+
+
+def test_look_alikes_make_no_row_a_pair(spark, monkeypatch):
+    """Of texts that look alike and are not, no table has a number of rows that grows with the square of their number."""
+    texts = look_alikes(random.Random(15), 1, 300, words=300, changes=(5, 5))
+    rows, real = {}, simhash.written
+
+    def counted(df, name, *codec):
+        out = real(df, name, *codec)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, k long").repartition(3)
+    root = {r.key: r.root for r in simhash.similar_groups(df, key_col="k").collect()}
+    assert len(root) == 300 and len(set(root.values())) > 150
+    assert max(rows.values()) < 300 * 299 / 2 / 4, rows
+
+
 # ---- suffixes
 
 

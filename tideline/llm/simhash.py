@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside_texts, given_back, new_name, without, written
+from .common import beside_texts, given_back, new_name, sieved, without, written
 
 FAN = 8
 SEED = 42
@@ -170,11 +170,7 @@ class GrayIndex:
             first[order] = np.concatenate([[True], node[order][1:] != node[order][:-1]])
             order = np.lexsort((node, apart, q))
             q, node, apart, first = q[order], node[order], apart[order], first[order]
-            fresh = np.ones(len(q), bool)
-            for at in range(0, len(q) if places is not None else 0, 4096):
-                x = (self.codes[q[at : at + 4096]] ^ self.codes[node[at : at + 4096]]).astype(">u8").view(np.uint8)
-                differ = np.unpackbits(x.reshape(-1, 8 * self.codes.shape[1]), axis=1)[:, places].any(2)
-                fresh[at : at + 4096] = differ.argmin(1) == self.buckets[q[at : at + 4096]] >> places.shape[1]
+            fresh = np.ones(len(q), bool) if places is None else self.shared_first(q, node, places, self.buckets >> places.shape[1])
             close = apart <= sure
             linked = close & (first | ~fresh)
             ids, place = np.unique(np.concatenate([q, node]), return_inverse=True)
@@ -198,6 +194,30 @@ class GrayIndex:
         self.links(most, chunk, sift, labels)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
+    def shared_first(self, q: np.ndarray, node: np.ndarray, places: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Of each pair whether its table, one of a number for each code, is the first of which it shares the key."""
+        out = np.ones(len(q), bool)
+        for at in range(0, len(q), 4096):
+            x = (self.codes[q[at : at + 4096]] ^ self.codes[node[at : at + 4096]]).astype(">u8").view(np.uint8)
+            differ = np.unpackbits(x.reshape(-1, 8 * self.codes.shape[1]), axis=1)[:, places].any(2)
+            out[at : at + 4096] = differ.argmin(1) == tables[q[at : at + 4096]]
+        return out
+
+    def met(self, most: int, labels: np.ndarray, places: np.ndarray | None) -> np.ndarray:
+        """Whether each code has a candidate of another label in its bucket; with ``places``, in the first table they share."""
+        out = np.zeros(len(self.codes), bool)
+        none = np.zeros(0, np.int64)
+
+        def sift(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            new = ~(out[q] & out[node])
+            q, node = q[new], node[new]
+            fresh = slice(None) if places is None else self.shared_first(q, node, places, self.buckets >> places.shape[1])
+            out[q[fresh]] = out[node[fresh]] = True
+            return none, none
+
+        self.links(most, None, sift, labels)
+        return out
+
     def _uniform(self, labels: np.ndarray) -> list[np.ndarray]:
         """Of each node of each level the label all its members share, or -1."""
         low, high, out = labels, labels, [labels]
@@ -252,15 +272,28 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = further
 
 
-def _forest(most: int, hold: int, sure: int | None = None, places: np.ndarray | None = None, nearest: int | None = 8):
+def _by_root(roots: np.ndarray) -> np.ndarray:
+    """Labels of codes: the first code that has the same root."""
+    first, of = np.unique(roots, return_index=True, return_inverse=True)[1:]
+    return first[of]
+
+
+def _forest(most: int, hold: int, sure: int | None = None, places: np.ndarray | None = None, nearest: int | None = 8, meet: bool = False):
     """Rows (bucket, node, code), those of a bucket together: (a, b), b the smallest node linked to a; or near pairs, if ``sure`` is there.
 
-    Rows may have a root as well: near pairs are those of two roots.
+    Rows may have a root as well: near pairs are those of two roots.  ``meet``: not the
+    pairs, but (bucket, table, node) of all that are in one; the table is -1 without ``places``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(buckets: np.ndarray, nodes: np.ndarray, codes: np.ndarray, *roots: np.ndarray):
             index = GrayIndex(codes, buckets)
+            if meet:
+                which = np.flatnonzero(index.met(most, _by_root(roots[0][index.order]), places))
+                own = index.buckets[which]
+                tables = np.full(len(own), -1) if places is None else own >> places.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(tables, pa.int32()), pa.array(nodes[index.order][which], pa.int64())], ["bucket", "table", "node"])
+                return
             if sure is not None:
                 labels = np.unique(roots[0][index.order], return_inverse=True)[1] if roots else None
                 a, b = (nodes[index.order][x] for x in index.near_pairs(most, sure, nearest, places, labels=labels))
@@ -367,6 +400,12 @@ def share_apart(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
+def far_bits(similarity: float, width: int) -> int:
+    """The bits that fingerprints of candidates differ in at most: two standard deviations more than expected."""
+    bits, p = 64 * width, share_apart(similarity)
+    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
 def table_plan(codes: int, similarity: float, recall: float, bucket: int = 16) -> tuple[int, int]:
     """(tables, bits of a key): keys leave ``bucket`` of so many codes together, and a pair of that similarity shares one of the keys with probability ``recall``."""
     bits = max(8, math.ceil(math.log2(max(codes, 2) / bucket)))
@@ -405,7 +444,7 @@ def _deal(places: np.ndarray):
     return run
 
 
-def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float, hot_bucket: int, hold: int = 100_000, codes: int | None = None) -> DataFrame:
+def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float, hot_bucket: int, hold: int = 100_000, codes: int | None = None, meet: bool = False) -> DataFrame:
     """Pairs (a, b), a > b, of nodes (node, code) that may have that similarity.
 
     Codes that differ in up to two standard deviations more bits than expected are
@@ -416,10 +455,12 @@ def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float
     and, as buckets of more than ``hot_bucket`` are split by the keys of further tables,
     made for as many codes as there are, some of such buckets.  Every node that something is
     left out of is in a pair, be it with itself.  Of nodes (node, code, root) all pairs of
-    two roots are given: a hot bucket is dealt in parts, and each part meets each.
+    two roots are given: a hot bucket is dealt in parts, and each part meets each.  Their
+    number is quadratic; with ``meet`` there are rows (bucket, table, node) instead, by
+    which the nodes of every such pair come together once at least.
     """
-    bits, p = 64 * width, share_apart(similarity)
-    most, sure = round(bits * p + 2 * math.sqrt(bits * p * (1 - p))), round(bits * share_apart((1 + similarity) / 2))
+    bits, most = 64 * width, far_bits(similarity, width)
+    sure = round(bits * share_apart((1 + similarity) / 2))
     n, whole = nodes.count(), "root" in nodes.columns
     names = ["node", "code", *(["root"] if whole else [])]
     schema = "bucket long, node long, code binary" + (", root long" if whole else "")
@@ -443,7 +484,9 @@ def candidates(nodes: DataFrame, *, similarity: float, width: int, recall: float
                 open_ = marked.where("hot is not null").select(F.col("node").alias("a"), F.col("node").alias("b"))
             dealt = marked.where("hot is null").select("bucket", *names).unionAll(parts)
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    sure, nearest = (-1, None) if whole else (sure, 8)
+    if meet:
+        return dealt.mapInArrow(lambda b: given_back(_forest(most, hold, places=places, meet=True)(b)), "bucket long, table int, node long")
+    sure, nearest = (-1, None) if whole else (sure, 2)
     pairs = dealt.mapInArrow(lambda b: given_back(_forest(most, hold, sure, places, nearest)(b)), "a long, b long")
     return (pairs.unionAll(open_) if open_ is not None else pairs).distinct()
 
@@ -482,13 +525,112 @@ def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pairs.field("a"), pairs.field("b"), part.column(0).take(pa.array(of))], ["a", "b", "text"])
 
 
+def _shingle_sets(shingle: int):
+    """Rows (node, code, root, text): the text's distinct shingles, as hashes, instead of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(t.as_py() or b"", shingle), repeat(SEED)), np.uint64)).tobytes() for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["node", "code", "root", "hashes"])
+
+    return run
+
+
+def _compare(most: int, similarity: float, places: np.ndarray, hold: int):
+    """Rows (bucket, table, node, code, root, hashes), those of a bucket together: roots (a, b) that similar sets of candidates link.
+
+    Sets of two roots are compared here, and what they link is one root from then on.
+    ``hold``: bytes of sets, after which the whole buckets are dealt with.
+    """
+
+    def solve(buckets: np.ndarray, tables: np.ndarray, codes: np.ndarray, roots: np.ndarray, sets: list[bytes]) -> Iterator[pa.RecordBatch]:
+        index = GrayIndex(codes, buckets)
+        tables, roots = tables[index.order], roots[index.order]
+        sizes = np.array([len(sets[k]) // 8 for k in index.order.tolist()], np.int64)
+        ids = np.unique(np.frombuffer(b"".join(sets[k] for k in index.order.tolist()), np.uint64), return_inverse=True)[1].astype(np.int32)
+        begin = np.cumsum(sizes) - sizes
+        there = np.zeros(len(ids) + 1, bool)
+
+        def sift(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keep = (tables[q] < 0) | index.shared_first(q, node, places, tables)
+            order = np.argsort(q[keep], kind="stable")
+            q, node = q[keep][order], node[keep][order]
+            similar = np.zeros(len(q), bool)
+            edges = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1], [True]])) if len(q) else np.zeros(1, np.int64)
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                n = sizes[q[i]]
+                own = ids[begin[q[i]] : begin[q[i]] + n]
+                there[own] = True
+                for k in range(i, j, 1024):
+                    part = node[k : min(k + 1024, j)]
+                    ends = np.concatenate([[0], np.cumsum(sizes[part])])
+                    at = np.arange(ends[-1]) + np.repeat(begin[part] - ends[:-1], sizes[part])
+                    found = np.concatenate([[0], np.cumsum(there[ids[at]])])
+                    same = found[ends[1:]] - found[ends[:-1]]
+                    similar[k : k + len(part)] = same >= similarity * (n + sizes[part] - same) - 1e-12
+                there[own] = False
+            return q[similar], node[similar]
+
+        before = _by_root(roots)
+        labels = index.links(most, None, sift, before)
+        a = np.unique(before)
+        x, y = roots[a], roots[labels[a]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)[x != y], pa.int64()), pa.array(np.minimum(x, y)[x != y], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flushed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            buckets, tables, _, codes, roots, sets = zip(*rows, strict=True)
+            code = np.frombuffer(b"".join(codes), ">u8").astype(np.uint64).reshape(len(rows), -1)
+            yield from solve(np.array(buckets), np.array(tables), code, np.array(roots), list(sets))
+
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= hold and row[0] != held[-1][0]:
+                    yield from flushed(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[-1])
+        if held:
+            yield from flushed(held)
+
+    return run
+
+
+def linked_roots(found: DataFrame, texts: DataFrame, *, shingle: int, similarity: float, width: int, recall: float, hot_bucket: int, codes: int, hold: int = 16 << 20) -> DataFrame:
+    """Pairs (a, b) of roots of ``found`` (node, code, root) that all candidates of two roots link, by ``texts`` (d, text).
+
+    No row stands for a pair: nodes with a candidate of another root go to the buckets
+    where they meet, with the hashes of their shingles, and are compared there.  A bucket
+    with more than ``hold`` bytes of them is dealt in parts, and each part meets each.
+    """
+    options = {"similarity": similarity, "width": width, "recall": recall, "hot_bucket": hot_bucket}
+    places = bucket_bits(64 * width, *table_plan(codes, similarity, recall))
+    met = written(candidates(found, **options, codes=codes, meet=True).distinct(), "near-met")
+    nodes = written(met.select("node").distinct().join(found, "node"), "near-met-nodes")
+    wanted = sieved(texts.select("d", F.col("text").cast("binary").alias("text")), "d", nodes, "node")
+    sets = nodes.join(wanted, nodes["node"] == wanted["d"]).select("node", "code", "root", "text")
+    sets = written(sets.mapInArrow(lambda b: given_back(_shingle_sets(shingle)(b)), "node long, code binary, root long, hashes binary"), "near-sets")
+    sizes = met.join(sets.select("node", F.length("hashes").alias("size")), "node").groupBy("bucket").agg(F.sum("size").alias("size"))
+    large = written(sizes.where(F.col("size") > hold).select("bucket", F.ceil(2 * F.col("size") / hold).cast("int").alias("parts")), "near-large")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
+    dealt = met.join(large, "bucket", "left").select(F.explode(F.when(F.col("parts").isNull(), F.array("bucket")).otherwise(cells)).alias("bucket"), "table", "node")
+    rows = dealt.join(sets, "node").select("bucket", "table", "node", "code", "root", "hashes").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(lambda b: given_back(_compare(far_bits(similarity, width), similarity, places, hold)(b)), "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, width: int = 4, recall: float = 0.98, hot_bucket: int = 20_000, per_list: int = 200, id_col: str = "doc_id", text_col: str = "text", key_col: str) -> DataFrame:
     """doc_id, key (unique, that of ``key_col``) and root (equal in a group) of every document.
 
     Candidates come from fingerprints of ``64 * width`` bits, in which each shingle counts
     once (see ``candidates``); documents with one fingerprint are candidates.  What links
     is the texts' own similarity: shared shingles by all shingles.  First candidates are
-    compared that span what seems alike, then all others that are in two groups still.
+    compared that span what seems alike, then all others that are in two groups still (see
+    ``linked_roots``).
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,22 +646,20 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
     options = {"similarity": similarity, "width": width, "recall": recall, "hot_bucket": hot_bucket}
     first = written(candidates(nodes, **options).unionAll(same), "near-first")
 
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        one = beside_texts(rows, pairs.select(F.col("a").alias("w"), F.struct("a", "b").alias("l")), per_list, f"{name}-one", few=True).mapInArrow(lambda b: given_back(_with_text(b)), "a long, b long, text string")
-        both = beside_texts(rows, one.select(F.col("b").alias("w"), F.struct("a", "b", "text").alias("l")), per_list, f"{name}-both", few=True)
-        return both.mapInArrow(lambda b: given_back(_links(shingle, similarity)(b)), "a long, b long")
-
-    labels = components(similar(first.where("a <> b"), "near"))
+    wanted = first.where("a <> b").select(F.col("a").alias("w"), F.struct("a", "b").alias("l"))
+    one = beside_texts(rows, wanted, per_list, "near-one", few=True).mapInArrow(lambda b: given_back(_with_text(b)), "a long, b long, text string")
+    both = beside_texts(rows, one.select(F.col("b").alias("w"), F.struct("a", "b", "text").alias("l")), per_list, "near-both", few=True)
+    labels = components(both.mapInArrow(lambda b: given_back(_links(shingle, similarity)(b)), "a long, b long"))
     # what was left out: all candidates that are in two groups now
     asked = first.select(F.col("a").alias("key")).unionAll(first.select(F.col("b").alias("key"))).distinct()
     asked = asked.join(marked, "key").select("code").distinct()
     found = marked.join(asked, "code").join(labels, F.col("key") == labels["node"], "left").select("key", "code", "digest", F.coalesce("root", "key").alias("root"))
     found = found.groupBy("code", "root", "digest").agg(F.min("key").alias("node"))  # of equal texts one asks
     found = written(found.select("node", "code", "root"), "near-open")
-    rest = written(candidates(found, **options, codes=nodes.count()).join(first, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
+    more = written(linked_roots(found, rows, shingle=shingle, codes=nodes.count(), **options), "near-more")
+    if not more.isEmpty():
         stars = labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        labels = components(similar(rest, "near-more").unionAll(stars))
+        labels = components(more.unionAll(stars))
     return rows.select("doc_id", F.col("d").alias("key")).join(labels, F.col("key") == labels["node"], "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
