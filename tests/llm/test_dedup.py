@@ -421,6 +421,31 @@ def test_passages_of_near_copies_meet_directly(spark):
     assert {(100, 101), (101, 100)} <= found
 
 
+def test_passages_in_many_documents_are_classes(spark):
+    """A frequent line makes no pairs; what is the same in many documents is one class, and no link is lost."""
+    rng = np.random.default_rng(13)
+    new = lambda n: rng.integers(100, 10**6, n)
+    passage, line = new(60), new(14)
+    docs = [np.concatenate([new(25), passage, new(25)]) for _ in range(50)]
+    docs += [np.concatenate([new(20), np.where(np.arange(60) % 20 == k, new(60), passage), new(20)]) for k in range(3)]
+    docs += [np.concatenate([new(40), line, new(40)]) for _ in range(60)]
+    around = new(30), new(30)  # two texts with the line have more in common
+    docs += [np.concatenate([new(20), around[0], line, around[1]]), np.concatenate([around[0], line, around[1], new(30)])]
+    rows = [(k, " ".join(map(str, d))) for k, d in enumerate(docs)]
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), direct=32, chunk_bytes=4_000).collect()
+    groups = {}
+    for r in found:
+        if r.class_id is not None:
+            assert rows[r.doc_id][1].split()[r.start : r.end] == rows[r.other_id][1].split()[r.other_start : r.other_end] and r.end - r.start >= 50
+            groups.setdefault(r.class_id, set()).update((r.doc_id, r.other_id))
+    assert any(g == set(range(50)) for g in groups.values())
+    links = {(a, b) for g in groups.values() for a in g for b in g if a != b} | {(r.doc_id, r.other_id) for r in found}
+    assert links == {(a, b) for a in range(len(docs)) for b in range(len(docs)) if a != b and passages_by_force(docs[a], docs[b])}
+    assert len(found) < 1_000  # of 2,758 links
+    plain = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), chunk_bytes=4_000)
+    assert {(r.doc_id, r.other_id) for r in plain.collect()} == links and "class_id" not in plain.columns
+
+
 def test_pairs_within():
     rng = np.random.default_rng(12)
     sizes = rng.integers(1, 30, 40)
