@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tideline import flow
 from tideline.flow import in_ranges, number_rows
+from tideline.plans import kv
 from tideline.plans.kv import KeyValues
 from tideline.plans.store import ClosedTransaction, ConcurrentChange, Isolation, Store, StoreError, with_retries
+from tideline.shared import written
 from tideline.streaming import Log, Queue, run_once, upsert_into
 
 
@@ -34,6 +36,23 @@ def test_tree_queries(spark):
         t.insert(spark.createDataFrame([("", 1)], "k string, v int")).df.collect()
 
 
+def test_tree_queries_by_short_keys(spark, monkeypatch):
+    """What is below the shortest keys meets no other key: the rows that do are few; with and without them the children are the same."""
+    keys = [f"a{n}" for n in range(100)] + [f"a{n}.{k}" for n in range(100) for k in range(5)] + ["a", "b12", "b123", "b1234", "c"]
+    t = table(spark, keys)
+    sizes = []
+    monkeypatch.setattr(kv, "written", lambda df, name: sizes.append((name, df.count())) or written(df, name))
+    for most in (1 << 16, 20, 0):
+        monkeypatch.setattr(kv, "_SHORT", most)
+        assert keys_of(t.children("a").df) == [f"a{n}" for n in range(10)]
+        assert keys_of(t.siblings("a").df) == ["a", "b12", "c"]
+        sizes.clear()
+        assert keys_of(t.first_child("a")) == ["a0"] and keys_of(t.first_child("b12")) == ["b123"] and keys_of(t.first_child("x")) == keys_of(t.first_child("c")) == []
+        assert sizes == []  # a top-1
+        assert keys_of(t.range().starting_at_child_of("a").by_sibling().going_on(prefix="a").flow().df) == [f"a{n}" for n in range(10)]
+        assert most == 0 or sizes[-1] == ("kv-left", 12 if most > 20 else 14)  # of 604
+
+
 def test_bounds(spark):
     t = table(spark, ["abc", "abcx", "bcd", "bcdx", "def", "fgh", "fghy"])
     assert keys_of(t.lower_bound("abcy")) == ["bcd"] and keys_of(t.lower_bound("fghx")) == ["fghy"]

@@ -16,6 +16,9 @@ from ..operators.elementwise import take_while
 from ..shared import written
 
 
+_SHORT = 1 << 16  # keys that are broadcast at most
+
+
 @dataclass(frozen=True)
 class KeyValues:
     df: DataFrame
@@ -83,10 +86,26 @@ class KeyValues:
         return self._below(key).limit(1).agg((F.count("*") > 0).alias("found"))
 
     def _minimal(self, rows: DataFrame) -> DataFrame:
-        """Rows that no other of these rows' keys is a proper prefix of.  The rows are needed three times, and written once."""
+        """Rows that no other of these rows' keys is a proper prefix of.  What is needed more than once is written.
+
+        The shortest keys, which cover most, are few: what is below them goes where it is
+        read.  Only the rest meets all its keys.
+        """
         rows = written(rows, "kv-rows")
+        counts = rows.groupBy(F.length(self.key).alias("n")).count().where("n is not null").orderBy("n").collect()  # one row a length
+        short, size = [], 0
+        for n, count in counts[:-1]:  # nothing is below the longest
+            if (size := size + count) > _SHORT:
+                break
+            short.append(n)
+        if short:
+            left = rows
+            for n in short:
+                above = rows.where(F.length(self.key) == n).select(F.col(self.key).alias("_a")).distinct()
+                left = left.join(F.broadcast(above), (F.substring(self.key, 1, n) == F.col("_a")) & (F.length(self.key) > n), "left_anti")
+            rows = written(left, "kv-left")
         keys = rows.select(F.col(self.key).alias("_a")).distinct()
-        lengths = keys.agg(F.sort_array(F.collect_set(F.length("_a"))).alias("_lens"))  # one entry a length
+        lengths = keys.agg(F.sort_array(F.collect_set(F.when(F.length("_a") > (short[-1] if short else 0), F.length("_a")))).alias("_lens"))  # one entry a length
         heads = rows.select(self.key).crossJoin(F.broadcast(lengths)).select(self.key, F.explode(F.filter("_lens", lambda n: n < F.length(self.key))).alias("_n"))
         heads = heads.select(self.key, F.expr(f"substring(`{self.key}`, 1, _n)").alias("_a"))
         covered = heads.join(keys, "_a", "left_semi").select(self.key).distinct()
@@ -99,7 +118,9 @@ class KeyValues:
         return Flow(df, (self.key,), (self.key,))
 
     def first_child(self, key: str) -> DataFrame:
-        return self.children(key).df.orderBy(self.key).limit(1)
+        """The least key below: what it goes on from would be before it."""
+        there = self.find(key).select(F.lit(1).alias("_there")).limit(1)
+        return self._below(key).orderBy(self.key).limit(1).crossJoin(F.broadcast(there)).drop("_there")
 
     def last_child(self, key: str) -> DataFrame:
         return self.children(key).df.orderBy(F.desc(self.key)).limit(1)
