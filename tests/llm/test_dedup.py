@@ -465,3 +465,24 @@ def test_common_words():
             for j, w in enumerate(b, 1):
                 last, row[j] = row[j], last + 1 if v == w else max(row[j], row[j - 1])
         assert chain_dedup.common_words(a, b) == row[-1]
+
+
+def test_runs_of_words_that_repeat(spark):
+    """Documents with a long run of one word make no pair a place of it, and no link is lost; some share just enough words."""
+    rng = np.random.default_rng(14)
+    new = lambda n: rng.integers(100, 10**6, n)
+    docs = [np.concatenate([new(30), np.full(int(n), 7), new(30)]) for n in rng.integers(44, 120, 50)]
+    same = new(42)  # and other words around them
+    docs += [np.concatenate([new(30), same, new(30)]) for _ in range(40)]
+    docs += [np.concatenate([new(30), np.full(20, 7), new(60)]) for _ in range(5)]
+    rows = [(k, " ".join(map(str, d))) for k, d in enumerate(docs)]
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), direct=32, chunk_bytes=4_000).collect()
+    groups = {}
+    for r in found:
+        a, b = docs[r.doc_id][r.start : r.end].tolist(), docs[r.other_id][r.other_start : r.other_end].tolist()
+        assert min(len(a), len(b)) >= 50 and chain_dedup.common_words(a, b) / max(len(a), len(b)) >= r.similarity - 1e-6 >= 0.8 - 2e-6
+        if r.class_id is not None:
+            groups.setdefault(r.class_id, set()).update((r.doc_id, r.other_id))
+    links = {(a, b) for g in groups.values() for a in g for b in g if a != b} | {(r.doc_id, r.other_id) for r in found if r.doc_id != r.other_id}
+    assert links == {(a, b) for a in range(len(docs)) for b in range(len(docs)) if a != b and passages_by_force(docs[a], docs[b])}
+    assert len(found) < 2_500  # of 4,010 links
